@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from hodograph.llm import components, topn
+from hodograph.llm import components, setjoin, topn
 
-MODULES = [topn, components]
+MODULES = [topn, setjoin, components]
 
 
 def queries():
