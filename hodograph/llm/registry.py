@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from hodograph.llm import components, setjoin, topn
+from hodograph.llm import components, runs, setjoin, topn
 
-MODULES = [topn, setjoin, components]
+MODULES = [topn, setjoin, components, runs]
 
 
 def queries():
