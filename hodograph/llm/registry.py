@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from hodograph.llm import components, runs, setjoin, topn
+from hodograph.llm import components, markov, runs, setjoin, topn
 
-MODULES = [topn, setjoin, components, runs]
+MODULES = [topn, markov, setjoin, components, runs]
 
 
 def queries():
