@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from hodograph.llm import components, ivfpq, markov, runs, setjoin, topn
+from hodograph.llm import components, ivfpq, lookalike, markov, runs, setjoin, topn
 
-MODULES = [topn, markov, setjoin, ivfpq, components, runs]
+MODULES = [topn, markov, setjoin, ivfpq, components, runs, lookalike]
 
 
 def queries():
