@@ -25,10 +25,10 @@ ALIKE = (
     "AАΑ BВΒ CСϹ EЕΕ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜ NΝ OОΟՕ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YΥҮ ZΖ"
 ).split()
 # Format characters that do show, and marks besides the format characters that do not.
-SHOWN = "؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd"
-HIDDEN = "͏᠋᠌᠍᠏"
-MARKS = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃰︠-︯]{2}")
-SEQUENCE = re.compile(".[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃰︠-︯]+")
+SHOWN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+HIDDEN = "\u034f\u180b\u180c\u180d\u180f"
+MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]{2}")
+SEQUENCE = re.compile(".[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 
 
 class Classes:
@@ -243,12 +243,12 @@ QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms}
 
 def _sql() -> str:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    blanks = "              　"
+    blanks = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
     others = "".join(g[1:] for g in ALIKE) + "ёЁїЇ"
     old = wide + blanks + others
     new = "".join(chr(c) for c in range(0x21, 0x7F)) + " " * len(blanks) + "".join(g[0] * (len(g) - 1) for g in ALIKE) + "ëËïÏ"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    hidden = "­​‌‍‎‏⁠﻿"
+    hidden = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
     return f"""
 WITH form AS (SELECT DISTINCT doc_id, text,
                 nfc_normalize(translate(translate(text, {quote(hidden)}, ''), {quote(old)}, {quote(new)})) AS form
