@@ -1,8 +1,8 @@
 """Queries and SQL of this subpackage."""
 
-from hodograph.llm import components, ivfpq, leaks, lookalike, markov, runs, setjoin, topn
+from hodograph.llm import components, ivfpq, leaks, lookalike, markov, packing, runs, setjoin, topn
 
-MODULES = [topn, markov, setjoin, ivfpq, components, runs, leaks, lookalike]
+MODULES = [topn, markov, setjoin, ivfpq, components, runs, packing, leaks, lookalike]
 
 
 def queries():
