@@ -31,6 +31,10 @@ MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-
 SEQUENCE = re.compile(".[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 
 
+#: Short pieces of text whose form a task remembers.
+PIECES = 200_000
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -136,12 +140,33 @@ class Canon:
                 self.trie.add_word(x, (len(x), y))
         self.trie.make_automaton()
         self.plain_ascii = not any(x.isascii() for x in self.rep if x)
+        # All but the first character of a string, and every character that goes by itself: a match lies within a run
+        # of these and the character before it, so only such pieces of a text are rewritten, each spelling once.
+        inner = {c for x in self.rep for c in (x if len(x) == 1 else x[1:])}
+        # Beyond the basic plane the whole range is taken, which keeps the character class a table.
+        near = "".join(map(re.escape, sorted(c for c in inner if c <= "\uffff")))
+        self.pieces = re.compile(f".?[{near}\U00010000-\U0010ffff]+", re.S)
+        self.known: dict[str, str] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def _piece(self, m: re.Match) -> str:
+        piece = m.group()
+        if (form := self.known.get(piece)) is None:
+            form = self._rewrite(piece)
+            if len(piece) <= 16 and len(self.known) < PIECES:
+                self.known[piece] = form
+        return form
 
     def __call__(self, text: str) -> str:
         if self.plain_ascii and text.isascii():
             return text
         if MARKS.search(text):  # marks in any order become one order
             text = unicodedata.normalize("NFD", text)
+        return self.pieces.sub(self._piece, text)
+
+    def _rewrite(self, text: str) -> str:
         while True:
             out, last = [], 0
             for end, (n, rep) in self.trie.iter_long(text):
