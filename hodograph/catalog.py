@@ -1,9 +1,16 @@
 """All core queries and their SQL."""
 
+from __future__ import annotations
+
+from hodograph.plans import q_graph, q_scalar
+
+MODULES = [q_scalar, q_graph]
+flagship = q_graph.g8_graph
+
 
 def queries():
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
