@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hodograph.plans import q_graph, q_scalar
+from hodograph.plans import q_graph, q_scalar, q_walks
 
-MODULES = [q_scalar, q_graph]
+MODULES = [q_scalar, q_graph, q_walks]
 flagship = q_graph.g8_graph
 
 
