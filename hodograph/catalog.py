@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hodograph.plans import q_graph, q_scalar, q_walks
+from hodograph.plans import q_graph, q_motion, q_scalar, q_walks
 
-MODULES = [q_scalar, q_graph, q_walks]
+MODULES = [q_scalar, q_graph, q_walks, q_motion]
 flagship = q_graph.g8_graph
 
 
