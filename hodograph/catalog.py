@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from hodograph.plans import q_graph, q_motion, q_scalar, q_walks
+from hodograph.plans import q_eval, q_graph, q_motion, q_scalar, q_walks
 
-MODULES = [q_scalar, q_graph, q_walks, q_motion]
+MODULES = [q_scalar, q_graph, q_walks, q_motion, q_eval]
 flagship = q_graph.g8_graph
 
 
