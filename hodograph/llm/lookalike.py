@@ -27,7 +27,7 @@ ALIKE = (
 # Format characters that do show, and marks besides the format characters that do not.
 SHOWN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
 HIDDEN = "\u034f\u180b\u180c\u180d\u180f"
-MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]{2}")
+MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]{2}|[^\x00-\x7f][\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]")
 SEQUENCE = re.compile(".[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20f0\ufe20-\ufe2f]+")
 
 
@@ -73,7 +73,10 @@ def relations() -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str], ...
             single.append((ch, ""))
         elif cat == "Zs" and cp != 0x1680:
             single.append((ch, " "))
-        elif way := unicodedata.decomposition(ch):
+        elif not (way := unicodedata.decomposition(ch)):
+            if (apart := unicodedata.normalize("NFD", ch)) != ch:  # syllables, which decompose by a formula
+                strings.append((ch, apart))
+        else:
             kind, _, rest = way.rpartition(">")
             target = "".join(chr(int(x, 16)) for x in rest.split())
             if kind in ("", "<wide", "<narrow"):
@@ -162,9 +165,10 @@ class Canon:
     def __call__(self, text: str) -> str:
         if self.plain_ascii and text.isascii():
             return text
-        if MARKS.search(text):  # marks in any order become one order
-            text = unicodedata.normalize("NFD", text)
-        return self.pieces.sub(self._piece, text)
+        text = self.pieces.sub(self._piece, text)
+        if MARKS.search(text):  # marks left over come into one order, and what they leave is composed anew
+            text = self.pieces.sub(self._piece, unicodedata.normalize("NFD", text))
+        return text
 
     def _rewrite(self, text: str) -> str:
         while True:

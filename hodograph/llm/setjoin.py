@@ -122,10 +122,13 @@ def similar_sets(
 
 
 def counting_ids() -> Column:
-    """Distinct ids of a walk's counting steps; null for a null array, arrays of unequal length or no such step."""
+    """Distinct ids of a walk's counting steps; null for a null array, arrays of unequal length or no such step.
+
+    Weights are single precision and are compared so: a stored 0.002 does not count.
+    """
     whole = (F.size("ids") == F.size("w")) & (F.size("ids") == F.size("pos")) & (F.size("ids") == F.size("st"))
     steps = F.arrays_zip("ids", "w", "st")
-    ok = F.filter(steps, lambda s: (s["st"] == 0) & (s["ids"] >= 4) & ~F.isnan(s["w"]) & (s["w"] > 0.002))
+    ok = F.filter(steps, lambda s: (s["st"] == 0) & (s["ids"] >= 4) & ~F.isnan(s["w"]) & (s["w"] > F.lit(0.002).cast("float")))
     ids = F.array_distinct(F.transform(ok, lambda s: s["ids"]))
     filled = F.col("ids").isNotNull() & F.col("w").isNotNull() & F.col("pos").isNotNull() & F.col("st").isNotNull()
     return F.when(filled & whole & (F.size(ids) > 0), ids)
@@ -155,7 +158,7 @@ _SETS = """
 WITH steps AS (
   SELECT DISTINCT sequence_id, unnest(ids) AS id, unnest(w) AS w, unnest(st) AS st FROM raw_walks
   WHERE len(ids) = len(w) AND len(ids) = len(pos) AND len(ids) = len(st)),
-tok AS (SELECT DISTINCT sequence_id AS s, id FROM steps WHERE st = 0 AND id >= 4 AND w > 0.002 AND NOT isnan(w)),
+tok AS (SELECT DISTINCT sequence_id AS s, id FROM steps WHERE st = 0 AND id >= 4 AND w > 0.002::FLOAT AND NOT isnan(w)),
 n AS (SELECT s, count(*) AS n FROM tok GROUP BY s),
 hit AS (SELECT x.s AS a, y.s AS b, count(*) AS c FROM tok x JOIN tok y ON x.id = y.id AND x.s < y.s GROUP BY x.s, y.s),
 pair AS (SELECT a, b, c, na.n AS na, nb.n AS nb FROM hit JOIN n na ON na.s = a JOIN n nb ON nb.s = b
