@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hodograph.functions.numeric import finite, known
@@ -129,26 +129,25 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def component_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``(node, label)`` of nodes with an edge: the least node of their component.
 
-    Alternates two star steps: neighbours above a node move to its least neighbour, then those below do. Every round is
-    a written table; the number of rounds grows with the logarithm of the size.
+    Alternates two star steps: neighbours above a node move to its least neighbour, then those below do, until all is
+    stars. Every round is a written table; the number of rounds grows with the logarithm of the size.
     """
     scratch = Scratch(edges.sparkSession, "labels")
-    now, mark = scratch.cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
+    now = scratch.cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        seen = Observation()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = scratch.cut(least.observe(seen, F.count_if((F.col("m") < F.col("u")) & (F.col("n") > 1)).alias("loose")).select("u", "m"))
+        if not seen.get["loose"]:
+            break
         big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = scratch.cut(big.filter("u <> v").distinct())
-        low = scratch.cut(big.groupBy("u").agg(F.min("v").alias("m")))
-        small = big.join(low, "u").select("u", "v", "m")
+        small = big.join(big.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         nxt = scratch.cut(nxt)
-        seen = tuple(nxt.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-        scratch.drop(now, least, big, low)
+        scratch.drop(now, least, big)
         now = nxt
-        if seen == mark:
-            break
-        mark = seen
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(tops)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hodograph.functions.scalar import dominates
-from hodograph.runtime import slots
+from hodograph.runtime import slots, widen
 
 #: Rows of one side of a theta join that are handed to every executor.
 SMALL = 200_000
@@ -31,16 +31,35 @@ def beaten(x: np.ndarray, y: np.ndarray, strict: bool) -> np.ndarray:
     return out
 
 
+def band(x: np.ndarray, limit: int, strict: bool) -> np.ndarray:
+    """Mask of the rows that fewer than ``limit`` others beat.
+
+    Rows go in order of their sum, so what beats a row comes before it, ties of the sum aside; and it is enough to count
+    those kept so far, since a row that was dropped is beaten by ``limit`` kept ones, which beat all that it beats.
+    """
+    order = np.lexsort((*x.T[::-1], x.sum(axis=1)))
+    keep = np.zeros(len(x), dtype=bool)
+    held = np.zeros((0, x.shape[1]))
+    for at in range(0, len(x), 512):
+        part = order[at : at + 512]
+        y = x[part]
+        ok = beaten(y, held, strict) < limit if len(held) else np.ones(len(y), dtype=bool)
+        y, part = y[ok], part[ok]
+        # A row is not less than itself; without strictness it counts itself once.
+        ok = (beaten(y, held, strict) if len(held) else 0) + beaten(y, y, strict) - (not strict) < limit
+        keep[part[ok]] = True
+        held = np.vstack([held, y[ok]])
+    return keep
+
+
 def _local(columns: list[str], signs: list[int], limit: int, strict: bool):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                rows = pa.Table.from_batches([whole.slice(at, 4096)])
-                held = rows if held is None else pa.concat_tables([held, rows])
-                x = np.column_stack([s * held[c].to_numpy().astype(np.float64) for c, s in zip(columns, signs, strict=True)])
-                # A row is not less than itself; without strictness it counts itself once.
-                held = held.filter(pa.array(beaten(x, x, strict) - (not strict) < limit))
+            rows = pa.Table.from_batches([whole])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            x = np.column_stack([s * held[c].to_numpy().astype(np.float64) for c, s in zip(columns, signs, strict=True)])
+            held = held.filter(pa.array(band(x, limit, strict)))
         if held is not None:
             yield from held.combine_chunks().to_batches()
 
@@ -50,7 +69,7 @@ def _local(columns: list[str], signs: list[int], limit: int, strict: bool):
 def local_band(df: DataFrame, columns: list[str], signs: list[int], limit: int, strict: bool) -> DataFrame:
     """Drop rows beaten by ``limit`` others of their own partition; then once more over fewer partitions."""
     step = _local(columns, signs, limit, strict)
-    once = df.mapInArrow(step, df.schema)
+    once = widen(df).mapInArrow(step, df.schema)
     return once.repartition(max(1, slots(df.sparkSession) // 4)).mapInArrow(step, df.schema)
 
 
