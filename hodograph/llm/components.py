@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hodograph.runtime import Scratch, read
 
 
-def _stars(e: DataFrame, scratch: Scratch) -> DataFrame:
-    """One round: each vertex sends its cluster to the cluster's least member, and that member to the others."""
+def _least(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, Observation]:
+    """``(v, m)``: the least member of each vertex's cluster; and how many vertices keep the state from being stars.
+
+    In a star a vertex that is not the least has one link. The minima are written, so that the joins on them have plain
+    exchanges on both sides, which adaptive execution can split where one vertex holds many rows.
+    """
     seen = e.select(F.col("hi").alias("v"), F.col("lo").alias("u")).union(e.select(F.col("lo").alias("v"), F.col("hi").alias("u")))
-    # Partial aggregation keeps a hot vertex from being gathered. The minima are written, so that the join below
-    # has plain exchanges on both sides, which adaptive execution can split where one vertex holds many rows.
-    least = scratch.cut(seen.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m")), "least")
+    # Partial aggregation keeps a hot vertex from being gathered.
+    m = seen.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    loose = Observation()
+    m = m.observe(loose, F.count_if((F.col("m") < F.col("v")) & (F.col("n") > 1)).alias("loose")).select("v", "m")
+    return scratch.cut(m, "least"), loose
+
+
+def _round(e: DataFrame, least: DataFrame) -> DataFrame:
+    """Each vertex sends its cluster to the cluster's least member, and that member to the others."""
     # An edge (lo, hi) is seen from both ends: hi knows lo and itself, lo knows hi and itself.
     at_hi = e.join(least.select(F.col("v").alias("hi"), F.col("m").alias("mh")), "hi")
     both = at_hi.join(least.select(F.col("v").alias("lo"), F.col("m").alias("ml")), "lo")
-    pairs = F.array(
-        F.struct(F.col("mh").alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("mh").alias("lo"), F.col("lo").alias("hi")),
-        F.struct(F.col("ml").alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("ml").alias("lo"), F.col("lo").alias("hi")),
-    )
-    out = both.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.lo", "p.hi").filter("lo < hi").distinct()
-    return out, least
+    pairs = F.array(*(F.struct(F.col(m).alias("lo"), F.col(v).alias("hi")) for m in ("mh", "ml") for v in ("hi", "lo")))
+    return both.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.lo", "p.hi").filter("lo < hi").distinct()
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
@@ -31,32 +36,24 @@ def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 64)
 
     Hash-to-min over pairs: a vertex's cluster set is kept as rows, never as one array, so the set that the
     least member of a huge group collects stays distributed. As every cluster holds its vertex and is sent with
-    its least member, a state is stored once as ``(lo, hi)``. Rounds end when a round changes nothing; they grow
-    with the logarithm of a group's diameter. Each round is one written table; the one before it is deleted.
+    its least member, a state is stored once as ``(lo, hi)``. Rounds end when the state is all stars, which no round
+    changes; they grow with the logarithm of a group's diameter. Each round is a written table; the one before it is
+    deleted.
 
     Pairs with a null side or with equal sides link nothing. Repeated and reversed pairs are one link. An empty
     input gives an empty result. Other columns are ignored. Raises ``RuntimeError`` if ``max_rounds`` do not do.
     """
-    spark = pairs.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(pairs.sparkSession, "components")
     e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    e = e.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
-    mark = None
+    e = scratch.cut(e.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "state")
     for _ in range(max_rounds):
-        seen = Observation()
-        done = scratch.cut(
-            e.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(lo, hi))").alias("h")), "state"
-        )
-        if mark:
-            scratch.drop(before, least)  # noqa: F821
-        if mark == (now := (seen.get["n"], seen.get["h"])) or not now[0]:
-            break
-        mark, before = now, done
-        e, least = _stars(done, scratch)
-    else:
-        raise RuntimeError(f"no stable components after {max_rounds} rounds")
-    tops = done.select(F.col("lo").alias("node_id"), F.col("lo").alias("group_id")).distinct()
-    return done.select(F.col("hi").alias("node_id"), F.col("lo").alias("group_id")).union(tops)
+        least, loose = _least(e, scratch)
+        if not loose.get["loose"]:
+            tops = e.select(F.col("lo").alias("node_id"), F.col("lo").alias("group_id")).distinct()
+            return e.select(F.col("hi").alias("node_id"), F.col("lo").alias("group_id")).union(tops)
+        before, e = e, scratch.cut(_round(e, least), "state")
+        scratch.drop(before, least)
+    raise RuntimeError(f"no stable components after {max_rounds} rounds")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
