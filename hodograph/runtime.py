@@ -80,10 +80,15 @@ def slots(spark: SparkSession) -> int:
 
 
 def widen(df: DataFrame, *keys: str, per_slot: int = 2) -> DataFrame:
-    """Spread a scan of few, large splits over the cluster before costly per-row work; else leave it alone."""
-    n = slots(df.sparkSession)
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= n else df.repartition(n * per_slot, *(F.col(k) for k in keys))
+    """Spread rows over the cluster before costly per-row work.
+
+    A scan of enough splits is left alone. What comes out of an exchange is always spread: adaptive execution would make
+    few partitions of few bytes, and to ask how many would run everything before it.
+    """
+    n, plan = slots(df.sparkSession), df._jdf.queryExecution()
+    if "Exchange" not in plan.executedPlan().toString() and plan.toRdd().getNumPartitions() >= n:
+        return df
+    return df.repartition(n * per_slot, *(F.col(k) for k in keys))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
