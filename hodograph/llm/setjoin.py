@@ -18,6 +18,10 @@ HOT_BUCKET = 1000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: What is known of a set in a bucket: its size, and a bitmap of its items.
+SIGNED = ["rep", "band", "key", "n", "b0", "b1"]
+
+
 def bands_for(threshold: float, rows: int, miss: float) -> int:
     """Bands of ``rows`` hashes after which a pair at the threshold is missed with probability ``miss`` at most."""
     return max(1, math.ceil(math.log(miss) / math.log1p(-(threshold**rows))))
@@ -42,6 +46,15 @@ def band_keys(flat: np.ndarray, offsets: np.ndarray, rows: int, bands: int, seed
     return out.view(np.int64)
 
 
+def bitmaps(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two words (sets x 2) with one bit of 128 set for each item."""
+    with np.errstate(over="ignore"):
+        place = _mix(flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    halves = [np.where(place >> np.uint64(6) == h, bit, np.uint64(0)) for h in (0, 1)]
+    return np.stack([np.bitwise_or.reduceat(x, offsets[:-1]) for x in halves], axis=1).view(np.int64)
+
+
 def _signer(rows: int, bands: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -49,15 +62,19 @@ def _signer(rows: int, bands: int):
                 part = whole.slice(at, 2000)
                 sets = part.column("set")
                 offsets = np.asarray(sets.offsets, dtype=np.int64)
-                keys = band_keys(np.asarray(sets.flatten()), offsets - offsets[0], rows, bands)
+                flat, offsets = np.asarray(sets.flatten()), offsets - offsets[0]
+                keys, maps = band_keys(flat, offsets, rows, bands), bitmaps(flat, offsets)
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("rep").take(pa.array(np.repeat(np.arange(n), bands))),
                         pa.array(np.tile(np.arange(bands, dtype=np.int32), n)),
                         pa.array(keys.reshape(-1)),
+                        pa.array(np.repeat(np.diff(offsets).astype(np.int32), bands)),
+                        pa.array(np.repeat(maps[:, 0], bands)),
+                        pa.array(np.repeat(maps[:, 1], bands)),
                     ],
-                    ["rep", "band", "key"],
+                    SIGNED,
                 )
 
     return sign
@@ -66,8 +83,8 @@ def _signer(rows: int, bands: int):
 def _candidates(signed: DataFrame, sets: DataFrame, threshold: float, hot_bucket: int, scratch: Scratch) -> DataFrame:
     counts = signed.groupBy("band", "key").count().filter("count > 1")
     shared = scratch.cut(signed.join(counts, ["band", "key"]), "shared")
-    cold = shared.filter(F.col("count") <= hot_bucket).select("rep", "band", "key", F.lit(0).cast("long").alias("token"))
-    hot = shared.filter(F.col("count") > hot_bucket).select("rep", "band", "key")
+    cold = shared.filter(F.col("count") <= hot_bucket).select(*SIGNED, F.lit(0).cast("long").alias("token"))
+    hot = shared.filter(F.col("count") > hot_bucket).select(*SIGNED)
     if not hot.isEmpty():
         # Two sets at the threshold share one of their rarest tokens (prefix filter): an exact way to split a hot bucket.
         near = sets.join(hot.select("rep").distinct(), "rep", "left_semi")
@@ -76,10 +93,15 @@ def _candidates(signed: DataFrame, sets: DataFrame, threshold: float, hot_bucket
         order = F.array_sort(F.collect_list(F.struct("count", "token")))
         keep = F.size("o") - F.ceil(F.size("o") * threshold - 1e-9) + 1
         rare = ranked.groupBy("rep").agg(order.alias("o")).select("rep", F.explode(F.slice("o", 1, keep.cast("int"))).alias("t"))
-        cold = cold.union(hot.join(rare.select("rep", F.col("t.token").alias("token")), "rep").select("rep", "band", "key", "token"))
-    left = cold.select(F.col("rep").alias("a"), "band", "key", "token")
-    right = cold.select(F.col("rep").alias("b"), "band", "key", "token")
-    return left.join(right, ["band", "key", "token"]).filter("a < b").select("a", "b").distinct()
+        cold = cold.union(hot.join(rare.select("rep", F.col("t.token").alias("token")), "rep").select(*SIGNED, "token"))
+    left = cold.withColumnsRenamed({"rep": "a", "n": "na", "b0": "a0", "b1": "a1"})
+    right = cold.withColumnRenamed("rep", "b")
+    met = left.join(right, ["band", "key", "token"]).filter("a < b")
+    # Sets differ in at least as many items as their bitmaps in bits, which bounds what they share; most chance meetings
+    # end here, before they are made distinct and before any set is fetched.
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    most = F.least((F.col("na") + F.col("n") - apart) / 2, F.col("na").cast("double"), F.col("n").cast("double"))
+    return met.filter(most >= threshold * (F.col("na") + F.col("n") - most) - 1e-9).select("a", "b").distinct()
 
 
 def similar_sets(
@@ -95,7 +117,7 @@ def similar_sets(
     * Null keys, null or empty sets and null elements do not take part; repeated elements count once; a key given
       again counts once (the greatest set, if they differ).
     * For records of two tables, union them with distinct keys.
-    * Minwise signatures are cut into bands of ``rows`` hashes, so many that a pair at the threshold is missed with
+    * Sets are of whole numbers. Minwise signatures are cut into bands of ``rows`` hashes, so many that a pair at the threshold is missed with
       probability ``miss`` at most; candidates of any band are made distinct and verified exactly, so no false pair is
       returned. Copies are collapsed before, so a hot set is one row. In a bucket of more than ``hot_bucket`` sets only
       sets that share a token of their prefix meet, which loses no pair.
@@ -111,7 +133,7 @@ def similar_sets(
     copied = sets.filter("n > 1").select("h", "h2", "rep")
     members = one.join(copied, ["h", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     bands = bands_for(threshold, rows, miss)
-    signed = widen(sets.select("rep", "set"), "rep").mapInArrow(_signer(rows, bands), "rep string, band int, key long")
+    signed = widen(sets.select("rep", "set"), "rep").mapInArrow(_signer(rows, bands), "rep string, band int, key long, n int, b0 long, b1 long")
     found = scratch.cut(_candidates(signed, sets.select("rep", "set"), threshold, hot_bucket, scratch), "candidates")
     a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
