@@ -34,7 +34,7 @@ NOISE = re.compile(
     r"|[(\uff08](?:[^)\uff09\n]|\n(?!\r?\n)){0,300}[)\uff09]"
     r"|\*[^*\n]{1,100}\*"
     r"|^[^\n]{0,20}\d[:\uff1a]\d\d[^\n]{0,20}[>\uff1e][^\n]*$"
-    r"|^\s*\d+\s*$",
+    r"|^[^\S\n]*\d+[^\S\n]*$",
     re.M,
 )
 LABEL = re.compile(r"^[^\S\n]*(?:[-\u2013\u2014][^\S\n]*)?[^\W\d_][\w.'-]{0,24}[:\uff1a](?=\s)", re.M)
