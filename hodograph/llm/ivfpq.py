@@ -211,7 +211,7 @@ def _searcher(bc, dim: int, min_cos: float, margin: float):
                     block = np.concatenate(ids), np.concatenate(codes).astype(np.intp), np.concatenate(vecs)
                 lst = int(part.column("list")[0].as_py())
                 qk, q = np.asarray(part.column("k"), dtype=np.int64), _matrix(part.column("vec"), dim)
-                step = max(1, (1 << 20) // len(block[0]))
+                step = min(256, max(1, (1 << 20) // len(block[0])))  # bounds the estimates and the tables
                 for s in range(0, len(pid), step):
                     found = scan(index, lst, *block, pid[s : s + step], qk[s : s + step], q[s : s + step])
                     if found is not None and found.num_rows:
