@@ -106,8 +106,8 @@ def d4_kinematics(spark, sf):
 
 
 def _guided(spark, sf):
-    """Pairs with guides: one frame per token, the token's number being its checksum."""
-    frames = lambda c: F.transform(c, lambda t: F.array(F.struct(F.crc32(t.cast("binary")).alias("token"), F.lit(1).cast("float").alias("weight"))))
+    """Pairs with guides: one frame per token, the token's number being the head of its digest."""
+    frames = lambda c: F.transform(c, lambda t: F.array(F.struct(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long").alias("token"), F.lit(1).cast("float").alias("weight"))))
     p = _pairs(spark, sf).filter("ta IS NOT NULL AND tb IS NOT NULL").withColumn("ga", frames("ta")).withColumn("gb", frames("tb"))
     fits = (F.size("ga") == F.size("a")) & (F.size("gb") == F.size("b"))
     p = p.withColumn("profile", F.when(fits, W.positional_profile(F.col("ga"), F.col("gb"))))
@@ -196,7 +196,7 @@ def e19_actions(spark, sf):
     nodes, e = q_graph._nodes(spark, sf), q_graph._edges(spark, sf)
     a = K.edge_actions(e, K.node_states(nodes, e.fillna(0.0)), c=100.0).filter("action = action")
     q = [F.round(F.percentile("action", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)]
-    return a.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("action"), 6).alias("least"), *q, F.round(F.max("action"), 6).alias("most"), F.count_if(F.col("action") < 0.002).alias("n_small"))
+    return a.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("action"), 6).alias("least"), *q, F.round(F.max("action"), 6).alias("most"), F.count_if(F.col("action") < 0.0020001).alias("n_small"))
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
@@ -281,6 +281,11 @@ ends AS (SELECT unnest([src, dst]) AS node, score, colbert, (sparse + relational
 sta AS (SELECT id AS node, coalesce(avg(ends.score), 0) AS v, coalesce(avg(ends.colbert), 0) AS a, coalesce(avg(rest), 0) AS k FROM facts LEFT JOIN ends ON node = id GROUP BY id)"""
 
 
+EDGES_FULL = """ef AS (SELECT src, dst, e.s AS score, e.c AS colbert, e.p AS sparse, e.r AS relational FROM (
+  SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max({'s': score, 'c': colbert, 'p': sparse, 'r': relational}) AS e
+  FROM edges WHERE src <> dst AND isfinite(score) GROUP BY 1, 2))"""
+
+
 def _levels(pruned: bool, horizon: int = 3) -> str:
     ctes = ["l0 AS (SELECT node AS root, node, v, a, k, 0.0::DOUBLE AS cost, []::BIGINT[] AS path FROM sta)"]
     for d in range(1, horizon + 1):
@@ -326,6 +331,35 @@ SELECT result_id, CASE WHEN isfinite(row[-1].t) THEN round(row[-1].t / row[-1].l
        CASE WHEN isfinite(row[-1].t) THEN row[-1].l END AS path_len
 FROM dp JOIN cost USING (result_id) WHERE i = n"""
 
+_GUIDES = """
+g AS (SELECT result_id, any_value(tokens) AS tk FROM colbert_results WHERE tokens IS NOT NULL GROUP BY result_id),
+gp AS (SELECT pr.result_id, x.tk AS ta, y.tk AS tb FROM pr JOIN g x ON x.result_id = pr.result_id JOIN g y ON y.result_id = pr.result_id + 1),
+tn AS (SELECT DISTINCT result_id, side, ('0x' || substr(md5(w), 1, 8))::BIGINT AS id FROM (
+         SELECT result_id, 0 AS side, unnest(ta) AS w FROM gp UNION ALL SELECT result_id, 1, unnest(tb) FROM gp)),
+h AS (SELECT *, id::UHUGEINT * 11400714819323198485::UHUGEINT AS h1 FROM tn),
+hh AS (SELECT *, (h1 % 1180591620717411303424::UHUGEINT) * 3266489955::UHUGEINT
+              + (((h1 % 274877906944::UHUGEINT) * 2246822519::UHUGEINT) % 274877906944::UHUGEINT) * 4294967296::UHUGEINT AS h2 FROM h),
+sg AS (SELECT result_id, side,
+  bit_or((1::UBIGINT << ((h1 // 18446744073709551616::UHUGEINT) % 64)::INT) | (1::UBIGINT << ((h2 // 18446744073709551616::UHUGEINT) % 64)::INT)) AS s0,
+  bit_or((1::UBIGINT << ((h1 // 4294967296::UHUGEINT) % 64)::INT) | (1::UBIGINT << ((h2 // 4294967296::UHUGEINT) % 64)::INT)) AS s1 FROM hh GROUP BY ALL),
+ov AS (SELECT gp.*, (bit_count(x.s0 & y.s0) + bit_count(x.s1 & y.s1))::INT AS overlap,
+         ((bit_count(x.s0 & y.s0) + bit_count(x.s1 & y.s1)) / (bit_count(x.s0 | y.s0) + bit_count(x.s1 | y.s1))::DOUBLE)::FLOAT AS jaccard
+       FROM gp JOIN sg x ON x.result_id = gp.result_id AND x.side = 0 JOIN sg y ON y.result_id = gp.result_id AND y.side = 1)"""
+
+
+def _guided_sql(where: str) -> str:
+    """The recursion with a band per row: one step where the tokens at a place agree, else ten and dearer."""
+    head, tail = _DTW.split("cost AS (", 1)
+    body, last = tail.rsplit("SELECT result_id, CASE WHEN isfinite", 1)
+    body = body.replace("FROM pr),", "FROM pr JOIN ov USING (result_id) WHERE len(ta) = len(a) AND len(tb) = len(b)),", 1)
+    body = body.replace("len(b)::INT AS m,", "len(b)::INT AS m, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i <= len(b) AND ta[i] = tb[i] THEN 1 ELSE 10 END) AS wd,", 1)
+    body = body.replace("list_transform(a, lambda p: list_transform(b, lambda q: greatest", "list_transform(a, lambda p, i: list_transform(b, lambda q: (CASE WHEN i <= len(b) AND ta[i] = tb[i] THEN 1.0 ELSE 1.0 + 0.3::FLOAT::DOUBLE END) * greatest", 1)
+    body = body.replace("abs(i + 1 - j) > 10", "abs(i + 1 - j) > wd[i + 1]").replace("abs(i + 1 - j) <= 10", "abs(i + 1 - j) <= wd[i + 1]")
+    done = """fin AS (SELECT ov.result_id, overlap, jaccard, CASE WHEN cost.n IS NULL THEN 'guides' END AS error, CASE WHEN isfinite(row[-1].t) THEN row[-1].t / row[-1].l END AS score,
+        CASE WHEN isfinite(row[-1].t) THEN row[-1].l END AS path_len FROM ov LEFT JOIN cost ON cost.result_id = ov.result_id LEFT JOIN dp ON dp.result_id = ov.result_id AND i = n)"""
+    return f"{head}{_GUIDES.strip()}, cost AS ({body.rstrip()}, {done} {where}"
+
+
 SQL = {
     "z1_dictionary": f"WITH {CEN} SELECT cell, len(v)::INT AS dim, round(sqrt(list_dot_product(v, v)), 7) AS norm FROM cen",
     "z2_ruzicka": f"""WITH {FACT}, bag AS (SELECT n, cell, sum(w) AS w FROM (SELECT n, unnest(celle) AS cell, unnest(conf)::DOUBLE AS w FROM fact
@@ -347,6 +381,16 @@ SQL = {
         SELECT (SELECT round(avg(c), 6) FROM p) AS mean_cells, (SELECT quantile_cont(c, 0.5)::DOUBLE FROM p) AS median_cells, count(DISTINCT cell) AS used_cells,
                round(avg(conf), 7) AS mean_conf, round(quantile_cont(conf, 0.1), 7) AS p10_conf FROM asg""",
     "d2_align": _DTW,
+    "d7_default_guard": _guided_sql("SELECT result_id, error, round(score, 7) AS score FROM fin WHERE jaccard >= 0.65::FLOAT"),
+    "d8_guided": _guided_sql("SELECT result_id, overlap, error, round(score, 7) AS score, path_len FROM fin WHERE overlap >= 2"),
+    "e5_levels": _guided_sql("""SELECT level, count(*) AS n_kept, round(avg(score), 6) AS mean_score FROM fin JOIN (VALUES ('L2', 0, NULL), ('L3', 2, NULL), ('L4', 4, NULL), ('L5', 5, NULL),
+        ('L6', NULL, 0.0), ('L7', NULL, 0.5), ('L8', NULL, 0.65), ('L9', NULL, 0.8)) t(level, bits, jac) ON overlap >= bits OR jaccard >= jac::FLOAT GROUP BY level"""),
+    "e19_actions": f"""WITH {EDGES_FULL}, n AS (SELECT src AS node FROM edges WHERE src IS NOT NULL UNION SELECT dst FROM edges WHERE dst IS NOT NULL),
+        en AS (SELECT unnest([src, dst]) AS node, score, coalesce(colbert, 0) AS c, (coalesce(sparse, 0) + coalesce(relational, 0)) / 2 AS r FROM ef),
+        s0 AS (SELECT node, avg(score) AS v, avg(c) AS a, avg(r) AS k FROM en GROUP BY node), ad AS (SELECT src AS x, dst AS y FROM ef UNION ALL SELECT dst, src FROM ef),
+        ac AS (SELECT {_ACT.format(t="t.", s="s.")} AS action FROM ad JOIN s0 s ON s.node = x JOIN s0 t ON t.node = y), ok AS (SELECT action FROM ac WHERE action IS NOT NULL)
+        SELECT count(*) AS n, round(min(action), 6) AS least, round(quantile_cont(action, 0.5), 6) AS p50, round(quantile_cont(action, 0.9), 6) AS p90,
+               round(quantile_cont(action, 0.99), 6) AS p99, round(max(action), 6) AS most, count(*) FILTER (WHERE action < 0.0020001) AS n_small FROM ok""",
     "k3_states": f"WITH {KIN} SELECT result_id, pos, round(v, 6) AS v, round(a, 6) + 0.0 AS a, round(k, 6) + 0.0 AS k FROM ks",
     "f12_last_states": f"WITH {KIN} SELECT result_id, round(v, 6) AS v, round(a, 6) + 0.0 AS a, round(k, 6) + 0.0 AS k FROM ks QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY pos DESC) = 1",
     "f14_frame_graph": f"WITH {KIN} SELECT src, dst, round(score, 6) + 0.0 AS score FROM fg",
