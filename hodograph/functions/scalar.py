@@ -71,14 +71,13 @@ def inertial_action(s, t, beta: float = 1.0, gamma: float = 1.0, c: float = 100.
     """Cost of going from state ``s`` to ``t`` (velocity, acceleration, curvature).
 
     Infinite where the change of velocity reaches ``c``; else the kinetic term in its stable form, plus the weighted
-    squared change of acceleration and absolute change of curvature.
+    squared change of acceleration and absolute change of curvature. Parameters are numbers or columns.
     """
-    if c <= 0:
-        return F.lit(float("inf"))
-    r = (t[0] - s[0]) / c
+    beta, gamma, c, m = (num(x) for x in (beta, gamma, c, m))
+    r = (t[0] - s[0]) / F.when(c > 0, c)
     kinetic = m * c * c * r * r / (1 + F.sqrt(F.greatest(1 - r * r, F.lit(0.0))))
     full = kinetic + beta * (t[1] - s[1]) * (t[1] - s[1]) + gamma * F.abs(t[2] - s[2])
-    return F.when(F.abs(t[0] - s[0]) >= c, F.lit(float("inf"))).otherwise(full)
+    return F.when((c <= 0) | (F.abs(t[0] - s[0]) >= c), F.lit(float("inf"))).otherwise(full)
 
 
 def lower_bound(cost: Column, depth: Column, horizon: int, min_step: float) -> Column:

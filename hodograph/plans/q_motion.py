@@ -238,14 +238,10 @@ def f18_deviation(spark, sf):
 
 
 def f16_throughput(spark, sf):
-    """Nodes made and kept at growing horizons."""
-    adj, states, roots = _search(spark, sf)
-    out = None
-    for h in (1, 2, 3):
-        _, levels = B.beam_search(adj, states, roots, SolverConfig(horizon=h, kappa=1000.0))
-        x = levels.agg(F.lit(h).alias("horizon"), F.sum("n_generated").alias("n_generated"), F.sum("n_kept").alias("n_kept"))
-        out = x if out is None else out.union(x)
-    return out
+    """Nodes made and kept at growing horizons. A level does not depend on how many follow, so one search has them all."""
+    _, levels = B.beam_search(*_search(spark, sf), SOLVER)
+    each = levels.withColumn("horizon", F.explode(F.sequence(F.col("depth"), F.lit(SOLVER.horizon))))
+    return each.groupBy("horizon").agg(F.sum("n_generated").alias("n_generated"), F.sum("n_kept").alias("n_kept"))
 
 
 QUERIES = {
@@ -282,7 +278,7 @@ sta AS (SELECT id AS node, coalesce(avg(ends.score), 0) AS v, coalesce(avg(ends.
 
 
 EDGES_FULL = """ef AS (SELECT src, dst, e.s AS score, e.c AS colbert, e.p AS sparse, e.r AS relational FROM (
-  SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max({'s': score, 'c': colbert, 'p': sparse, 'r': relational}) AS e
+  SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max({'s': score, 'c': coalesce(colbert, '-inf'::DOUBLE), 'p': coalesce(sparse, '-inf'::DOUBLE), 'r': coalesce(relational, '-inf'::DOUBLE)}) AS e
   FROM edges WHERE src <> dst AND isfinite(score) GROUP BY 1, 2))"""
 
 
@@ -386,7 +382,7 @@ SQL = {
     "e5_levels": _guided_sql("""SELECT level, count(*) AS n_kept, round(avg(score), 6) AS mean_score FROM fin JOIN (VALUES ('L2', 0, NULL), ('L3', 2, NULL), ('L4', 4, NULL), ('L5', 5, NULL),
         ('L6', NULL, 0.0), ('L7', NULL, 0.5), ('L8', NULL, 0.65), ('L9', NULL, 0.8)) t(level, bits, jac) ON overlap >= bits OR jaccard >= jac::FLOAT GROUP BY level"""),
     "e19_actions": f"""WITH {EDGES_FULL}, n AS (SELECT src AS node FROM edges WHERE src IS NOT NULL UNION SELECT dst FROM edges WHERE dst IS NOT NULL),
-        en AS (SELECT unnest([src, dst]) AS node, score, coalesce(colbert, 0) AS c, (coalesce(sparse, 0) + coalesce(relational, 0)) / 2 AS r FROM ef),
+        en AS (SELECT unnest([src, dst]) AS node, score, coalesce(nullif(colbert, '-inf'::DOUBLE), 0) AS c, (coalesce(nullif(sparse, '-inf'::DOUBLE), 0) + coalesce(nullif(relational, '-inf'::DOUBLE), 0)) / 2 AS r FROM ef),
         s0 AS (SELECT node, avg(score) AS v, avg(c) AS a, avg(r) AS k FROM en GROUP BY node), ad AS (SELECT src AS x, dst AS y FROM ef UNION ALL SELECT dst, src FROM ef),
         ac AS (SELECT {_ACT.format(t="t.", s="s.")} AS action FROM ad JOIN s0 s ON s.node = x JOIN s0 t ON t.node = y), ok AS (SELECT action FROM ac WHERE action IS NOT NULL)
         SELECT count(*) AS n, round(min(action), 6) AS least, round(quantile_cont(action, 0.5), 6) AS p50, round(quantile_cont(action, 0.9), 6) AS p90,
