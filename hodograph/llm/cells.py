@@ -6,27 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hodograph.runtime import BROADCAST_LIMIT, TooLarge, read, small_rows
+from hodograph.operators.cells import centroid_matrix, unit
+from hodograph.runtime import read
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    """Centroids as a float64 matrix (cells x dimensions).
-
-    The dictionary is fixed by design (one row, some hundred cells). Its size is checked before it is fetched, as every
-    task gets it; beyond :data:`BROADCAST_LIMIT` bytes a ``TooLarge`` is raised and :func:`project_by_join` serves.
-    """
-    table = read(spark, sf_dir, "cell_dictionary").select("centroidi")
-    cells = table.agg(F.sum(F.size("centroidi") * F.size(F.col("centroidi")[0]))).first()[0]
-    if cells and cells * 8 > BROADCAST_LIMIT:
-        raise TooLarge(f"cell dictionary of {cells} numbers")
-    rows = small_rows(table.filter("centroidi IS NOT NULL"), 1, "cell_dictionary")
-    return np.array(rows[0][0], dtype=np.float64) if rows else np.zeros((0, 1))
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; zero rows stay."""
-    n = np.linalg.norm(x, axis=-1, keepdims=True)
-    return x / np.where(n > 0, n, 1)
+    """Centroids as a float64 matrix (cells x dimensions), its size checked; see :func:`centroid_matrix`."""
+    return centroid_matrix(read(spark, sf_dir, "cell_dictionary"))
 
 
 def same_cell(centroids: np.ndarray, cosine: float) -> np.ndarray:
@@ -48,9 +34,9 @@ def steps(trajectories: DataFrame, conf: bool) -> DataFrame:
 
 
 def project_by_join(steps_df: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``(fact_id, vec)``: the confidence-weighted mean as a join on the cell, for a dictionary of any size.
+    """``(fact_id, vec)``: the confidence-weighted mean as a join on the cell, for a dictionary too large to hand out.
 
-    ``centroids(cell, vec)``. The same result as the broadcast form; it shuffles steps by cell and sums by dimension.
+    ``centroids(cell, vec)``. The same result as the matrix form; it shuffles steps by cell and sums by dimension.
     """
     s = steps_df.select("fact_id", F.explode("steps").alias("s")).select("fact_id", "s.pos", F.col("s.celle").alias("cell"), "s.conf")
     s = s.groupBy("fact_id", "pos").agg(F.min(F.struct("cell", "conf")).alias("s")).select("fact_id", "s.cell", "s.conf")

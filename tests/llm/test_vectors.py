@@ -74,6 +74,9 @@ def test_points(spark):
     t = trajectories(spark, data)
     got = {r.id: np.frombuffer(r.vec, np.float32).tolist() for r in markov.points(t, c).collect()}
     assert got.keys() == {"a", "b", "f"} and got["b"] == [1, 0, 0] and got["a"] == pytest.approx([0.7071, 0.7071, 0], abs=1e-3)
+    table = spark.createDataFrame([(c.tolist(),)], "centroidi array<array<float>>")
+    joined = {r.id: np.frombuffer(r.vec, np.float32).tolist() for r in markov.points_by_join(t, table).collect()}
+    assert joined == {k: pytest.approx(v) for k, v in got.items()}
     by_join = {r.fact_id: r.vec for r in cells.project_by_join(cells.steps(t, conf=True), spark.createDataFrame([(i, c[i].tolist()) for i in range(3)], "cell int, vec array<double>")).collect()}
     assert by_join.keys() == {"a", "b", "f"} and by_join["a"] == [0.5, 0.5, 0]
 
