@@ -84,33 +84,41 @@ def align(x: np.ndarray | None, y: np.ndarray | None, cfg: AlignConfig, profile:
     n, m = len(x), len(y)
     width, factor = band_widths(profile, n, cfg) if profile is not None else (np.full(n, cfg.window), np.ones(n))
     costs = cosine_costs(x, y) * factor[:, None]
+    inside = np.abs(np.arange(n)[:, None] - np.arange(m)[None, :]) <= width[:, None]
+    if np.isnan(costs[inside]).any():
+        return Alignment(np.nan, [], none, "nan")
+    total = accumulate(np.where(inside, costs, np.inf))
+    path = trace(total)
+    return Alignment(float(total[n, m]), path, kinematics(x, y, path))
+
+
+def accumulate(costs: np.ndarray) -> np.ndarray:
+    """Least cost to every cell, with a border of infinite costs before the first row and column.
+
+    A cell needs its upper, left and diagonal neighbours, so all cells of one anti-diagonal are computed at once.
+    """
+    n, m = costs.shape
     total = np.full((n + 1, m + 1), np.inf)
     total[0, 0] = 0.0
-    for i in range(1, n + 1):
-        a, b = max(1, i - int(width[i - 1])), min(m, i + int(width[i - 1]))
-        row, above, c = total[i], total[i - 1], costs[i - 1]
-        if b >= a and np.isnan(c[a - 1 : b]).any():
-            return Alignment(np.nan, [], none, "nan")
-        for j in range(a, b + 1):
-            row[j] = c[j - 1] + min(above[j], row[j - 1], above[j - 1])
-    i, j = n, m
-    path = [(n - 1, m - 1)]
-    while i > 1 or j > 1:
-        if i == 1:
-            j -= 1
-        elif j == 1:
-            i -= 1
-        else:
-            diag, left, up = total[i - 1, j - 1], total[i, j - 1], total[i - 1, j]
-            if diag <= left and diag <= up:
-                i, j = i - 1, j - 1
-            elif left <= up:
-                j -= 1
-            else:
-                i -= 1
-        path.append((i - 1, j - 1))
-    path.reverse()
-    return Alignment(float(total[n, m]), path, kinematics(x, y, path))
+    for s in range(2, n + m + 1):
+        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
+        j = s - i
+        total[i, j] = costs[i - 1, j - 1] + np.minimum(np.minimum(total[i - 1, j], total[i, j - 1]), total[i - 1, j - 1])
+    return total
+
+
+def trace(total: np.ndarray) -> list[tuple[int, int]]:
+    """Best path to the last cell, as cells from the first on."""
+    diag, left, up = total[:-1, :-1], total[1:, :-1], total[:-1, 1:]
+    back = np.where((diag <= left) & (diag <= up), 0, np.where(left <= up, 1, 2))
+    back[:, 0], back[0, :] = 2, 1
+    di, dj = (1, 0, 1), (1, 1, 0)
+    cell, path = (total.shape[0] - 2, total.shape[1] - 2), []
+    while cell != (0, 0):
+        path.append(cell)
+        b = back[cell]
+        cell = (cell[0] - di[b], cell[1] - dj[b])
+    return [(0, 0), *path[::-1]]
 
 
 RESULT = "error string, score double, divergence double, path_len int, path array<struct<i:int,j:int>>, kin array<struct<v:double,a:double,k:double>>"
