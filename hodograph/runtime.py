@@ -47,6 +47,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.live: list[str] = []
         atexit.register(self._end)
 
     def _end(self) -> None:
@@ -61,13 +62,24 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.live.append(path)
         return out
 
-    def drop(self, *dfs: DataFrame) -> None:
-        for df in dfs:
-            _delete(self.spark, df._scratch_path)
+    def _remove(self, paths: list[str]) -> None:
+        for path in paths:
+            _delete(self.spark, path)
+            self.live.remove(path)
         free_shuffles(self.spark)
 
+    def drop(self, *dfs: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        self._remove([df._scratch_path for df in dfs])
+
+    def keep(self, *dfs: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {df._scratch_path for df in dfs}
+        self._remove([p for p in self.live if p not in kept])
+
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished jobs now and not at some later collection."""
