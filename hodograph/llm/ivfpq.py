@@ -272,6 +272,7 @@ def nearest_vectors(vectors: DataFrame, dim: int, min_cos: float, scratch: Scrat
         _searcher(bc, dim, min_cos, p.margin), "id long, k long, other long, cos double"
     )
     top = scratch.cut(found, "found")
+    scratch.drop(routed)
     w = Window.partitionBy("id").orderBy(F.col("cos").desc(), F.col("other"))
     top = top.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k_max).filter("r <= k").select("id", "other", "cos")
     # From distinct vectors to keys. A copy has cosine 1 with its copies; only the least k_max + 1 keys can matter.
