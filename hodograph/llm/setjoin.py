@@ -81,6 +81,7 @@ def _signer(rows: int, bands: int):
 
 
 def _candidates(signed: DataFrame, sets: DataFrame, threshold: float, hot_bucket: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs that share a bucket and can reach the threshold, as a written table."""
     counts = signed.groupBy("band", "key").count().filter("count > 1")
     shared = scratch.cut(signed.join(counts, ["band", "key"]), "shared")
     cold = shared.filter(F.col("count") <= hot_bucket).select(*SIGNED, F.lit(0).cast("long").alias("token"))
@@ -101,7 +102,9 @@ def _candidates(signed: DataFrame, sets: DataFrame, threshold: float, hot_bucket
     # end here, before they are made distinct and before any set is fetched.
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     most = F.least((F.col("na") + F.col("n") - apart) / 2, F.col("na").cast("double"), F.col("n").cast("double"))
-    return met.filter(most >= threshold * (F.col("na") + F.col("n") - most) - 1e-9).select("a", "b").distinct()
+    out = scratch.cut(met.filter(most >= threshold * (F.col("na") + F.col("n") - most) - 1e-9).select("a", "b").distinct(), "candidates")
+    scratch.drop(shared)
+    return out
 
 
 def similar_sets(
@@ -134,7 +137,7 @@ def similar_sets(
     members = one.join(copied, ["h", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     bands = bands_for(threshold, rows, miss)
     signed = widen(sets.select("rep", "set"), "rep").mapInArrow(_signer(rows, bands), "rep string, band int, key long, n int, b0 long, b1 long")
-    found = scratch.cut(_candidates(signed, sets.select("rep", "set"), threshold, hot_bucket, scratch), "candidates")
+    found = _candidates(signed, sets.select("rep", "set"), threshold, hot_bucket, scratch)
     a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     both = found.join(a, "a").join(b, "b").withColumn("inter", F.size(F.array_intersect("sa", "sb")))
