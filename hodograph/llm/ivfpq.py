@@ -25,7 +25,8 @@ class Params:
 
     ``per_list``: vectors that a list has on average. ``max_lists``: bound of the lists. ``train_per_list``: bound of
     the training sample, per list. ``sub``: product-quantiser parts. ``probes``: lists searched per vector. ``margin``:
-    a vector is reranked if its estimated similarity is at least the wanted one less this.
+    a vector is reranked if its estimated similarity is at least the wanted one less this. ``depth``: where no similarity
+    is wanted, the ``depth * k + 32`` best estimates of a block are reranked at most.
     """
 
     per_list: int = 400
@@ -34,6 +35,7 @@ class Params:
     sub: int = 16
     probes: int = 4
     margin: float = 0.2
+    depth: int = 4
     iterations: int = 6
     seed: int = 11
 
@@ -48,6 +50,10 @@ class Index:
         s = x @ self.coarse.T
         return np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(n), (len(x), 1))
 
+    def ranked(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The lists of these ranks, from 0 for the one a vector is in; fewer where there are no more."""
+        return np.argsort(-(x @ self.coarse.T), axis=1, kind="stable")[:, first:last]
+
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return np.argmax(x @ self.coarse.T, axis=1)
 
@@ -139,8 +145,15 @@ def _unnest(dim: int, stride: int):
     return unnest
 
 
-def _router(bc, dim: int, probes: int):
-    """(id, vec) to index rows (side 0, with codes) and query rows (side 1, one per probed list)."""
+ROUTED = ["list", "side", "id", "k", "codes", "vec"]
+_ROUTED = "list int, side int, id long, k long, codes binary, vec binary"
+
+
+def _router(bc, dim: int, probes: int, first: int = 0):
+    """(id, vec) to index rows (side 0, with codes) and query rows (side 1, one per probed list).
+
+    With a column ``floor`` the lists of the ranks from ``first`` up to ``probes`` are probed; with ``first`` above 0 the
+    rows are queries only."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = bc.value
@@ -148,33 +161,45 @@ def _router(bc, dim: int, probes: int):
             for at in range(0, whole.num_rows, 1024):
                 part = whole.slice(at, 1024)
                 x = _matrix(part.column("vec"), dim)
-                own = index.nearest(x)
-                probe = index.probe(x, probes)
+                floor = "floor" in part.schema.names
+                probe = index.ranked(x, first, probes) if floor else index.probe(x, probes)
                 n, p = probe.shape
+                if first:
+                    take = pa.array(np.repeat(np.arange(n), p))
+                    codes, side = pa.nulls(n * p, pa.binary()), pa.array(np.ones(n * p, dtype=np.int32))
+                    cols = [pa.array(probe.reshape(-1).astype(np.int32)), side, part.column("id").take(take), part.column("k").take(take), codes, part.column("vec").take(take)]
+                    yield pa.RecordBatch.from_arrays([*cols, part.column("floor").take(take)], [*ROUTED, "floor"])
+                    continue
+                own = probe[:, 0] if floor else index.nearest(x)
                 take = pa.array(np.concatenate([np.arange(n), np.repeat(np.arange(n), p)]))
                 codes = pa.array([r.tobytes() for r in index.encode(x, own)] + [None] * (n * p), pa.binary())
                 side = np.repeat(np.array([0, 1], dtype=np.int32), [n, n * p])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([own, probe.reshape(-1)]).astype(np.int32)), pa.array(side), part.column("id").take(take), part.column("k").take(take), codes, part.column("vec").take(take)],
-                    ["list", "side", "id", "k", "codes", "vec"],
-                )
+                cols = [pa.array(np.concatenate([own, probe.reshape(-1)]).astype(np.int32)), pa.array(side), part.column("id").take(take), part.column("k").take(take), codes, part.column("vec").take(take)]
+                yield pa.RecordBatch.from_arrays([*cols, part.column("floor").take(take)] if floor else cols, [*ROUTED, "floor"] if floor else ROUTED)
 
     return route
 
 
-def _searcher(bc, dim: int, min_cos: float, margin: float):
-    """Groups of rows sorted by (list, blocks, side): an index block, then the queries that meet it."""
+def _searcher(bc, dim: int, min_cos: float | None, p: Params):
+    """Groups of rows sorted by (list, blocks, side): an index block, then the queries that meet it.
 
-    def scan(index: Index, lst: int, ids, codes, vecs, qid, qk, q) -> pa.RecordBatch | None:
+    Without ``min_cos`` each query has its own in the column ``floor``, where null asks for the best of the block."""
+
+    def scan(index: Index, lst: int, ids, codes, vecs, qid, qk, q, floor) -> pa.RecordBatch | None:
         t = index.tables(q)
         est = np.repeat((q @ index.coarse[lst])[:, None], len(ids), axis=1)
         for m in range(t.shape[1]):
             est += np.take(t[:, m, :], codes[:, m], axis=1)
-        i, j = np.nonzero(est >= min_cos - margin)
+        if min_cos is None:
+            n = np.minimum(p.depth * qk + 32, len(ids))
+            cut = np.sort(est, axis=1)[np.arange(len(q)), len(ids) - n]
+            i, j = np.nonzero(est >= np.maximum(cut, floor - p.margin)[:, None])
+        else:
+            i, j = np.nonzero(est >= min_cos - p.margin)
         if not len(i):
             return None
         cos = np.einsum("nd,nd->n", q[i].astype(np.float64), vecs[j].astype(np.float64))
-        ok = (cos >= min_cos - 1e-6) & (qid[i] != ids[j])
+        ok = (cos >= (floor[i] if min_cos is None else min_cos) - 1e-6) & (qid[i] != ids[j])
         i, j, cos = i[ok], j[ok], np.round(cos[ok], 6)
         # Of each query the best k of this block, least id first among equals.
         order = np.lexsort((ids[j], -cos, i))
@@ -211,9 +236,10 @@ def _searcher(bc, dim: int, min_cos: float, margin: float):
                     block = np.concatenate(ids), np.concatenate(codes).astype(np.intp), np.concatenate(vecs)
                 lst = int(part.column("list")[0].as_py())
                 qk, q = np.asarray(part.column("k"), dtype=np.int64), _matrix(part.column("vec"), dim)
+                floor = np.full(len(pid), -2.0) if min_cos is not None else part.column("floor").fill_null(-2.0).to_numpy(zero_copy_only=False)
                 step = min(256, max(1, (1 << 20) // len(block[0])))  # bounds the estimates and the tables
                 for s in range(0, len(pid), step):
-                    found = scan(index, lst, *block, pid[s : s + step], qk[s : s + step], q[s : s + step])
+                    found = scan(index, lst, *block, pid[s : s + step], qk[s : s + step], q[s : s + step], floor[s : s + step])
                     if found is not None and found.num_rows:
                         yield found
 
@@ -235,8 +261,55 @@ def build_index(vectors: DataFrame, dim: int, p: Params) -> Index:
     return train(sample, n, p) if len(sample) else Index(np.zeros((1, dim), np.float32), np.zeros((1, 256, dim), np.float32))
 
 
-def nearest_vectors(vectors: DataFrame, dim: int, min_cos: float, scratch: Scratch, p: Params = Params(), block: int = BLOCK, work: int = WORK) -> DataFrame:
-    """``(key, other, cos)``: for every vector those of its ``k`` most similar others that have at least ``min_cos``.
+def _scan(routed: DataFrame, bc, dim: int, min_cos: float | None, p: Params, block: int, work: int) -> DataFrame:
+    """``(id, k, other, cos)``: what the query rows of ``routed`` find in the index rows of their lists."""
+    spark = routed.sparkSession
+    sizes = routed.groupBy("list").agg(F.sum(F.expr("int(side = 0)")).alias("ni"), F.sum(F.expr("int(side = 1)")).alias("nq"))
+    sizes = sizes.filter("ni > 0 AND nq > 0").withColumn("bi", F.ceil(F.col("ni") / block).cast("int"))
+    sizes = sizes.withColumn("bq", F.ceil(F.col("nq") * F.col("ni") / F.col("bi") / work).cast("int")).select("list", "bi", "bq")
+    # One row per list, at most max_lists rows.
+    split = routed.join(F.broadcast(sizes), "list")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("bi")).otherwise(F.col("bq"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("bq")).otherwise(F.col("bi")) - 1))
+    split = split.withColumn("mine", mine).withColumn("other", other)
+    i, q = F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
+    split = split.withColumn("grp", F.xxhash64("list", i, q)).select("grp", "side", "list", "id", "k", "codes", "vec", *(["floor"] if min_cos is None else []))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
+    return split.repartition(tasks, "grp").sortWithinPartitions("grp", "side").mapInArrow(
+        _searcher(bc, dim, min_cos, p), "id long, k long, other long, cos double"
+    )
+
+
+def _whole_top(one: DataFrame, bc, dim: int, scratch: Scratch, p: Params, block: int, work: int) -> DataFrame:
+    """What holds the ``k`` best of every vector, whatever their similarity.
+
+    A vector first searches its own list; the ``k``-th best there is the least that the other lists have to offer, so
+    they yield few rows more than ``k``. Who has not found ``k`` by then searches all lists that are left.
+    """
+    lists = len(bc.value.coarse)
+    w = Window.partitionBy("id").orderBy(F.col("cos").desc(), F.col("other"))
+    ask = widen(one.select("id", "k", "vec"), "id")
+    routed = ask.withColumn("floor", F.lit(None).cast("double")).mapInArrow(_router(bc, dim, 1), _ROUTED + ", floor double")
+    routed = scratch.cut(routed, "routed")
+    index = routed.filter("side = 0")
+    found = scratch.cut(_scan(routed.filter("side = 0 OR k > 0"), bc, dim, None, p, block, work), "found")
+    near = max(1, min(p.probes, lists))
+    for first, last, short in ((1, near, False), (near, lists, True)):
+        if first >= last:
+            continue
+        # The k-th best so far, if there are as many.
+        kth = found.withColumn("r", F.row_number().over(w)).filter("r = k").select("id", F.col("cos").alias("floor"))
+        left = one.filter("k > 0").select("id", "k", "vec").join(kth, "id", "left")
+        if short and (left := scratch.cut(left.filter("floor IS NULL"), "short")).isEmpty():
+            break
+        more = left.mapInArrow(_router(bc, dim, last, first), _ROUTED + ", floor double")
+        found = found.union(scratch.cut(_scan(index.union(more), bc, dim, None, p, block, work), "found"))
+    return found
+
+
+def nearest_vectors(vectors: DataFrame, dim: int, min_cos: float | None, scratch: Scratch, p: Params = Params(), block: int = BLOCK, work: int = WORK) -> DataFrame:
+    """``(key, other, cos)``: for every vector those of its ``k`` most similar others that have at least ``min_cos``, all ``k``
+    if that is None.
 
     ``vectors(key, k, vec)``: distinct keys, unit vectors as float32 bytes; a null ``k`` or ``k < 1`` asks for nothing,
     but such a vector can be found. Equal similarity (to 6 digits) goes by the lesser key.
@@ -253,26 +326,13 @@ def nearest_vectors(vectors: DataFrame, dim: int, min_cos: float, scratch: Scrat
     one = scratch.cut(one, "distinct")
     index = build_index(one, dim, p)
     bc = vectors.sparkSession.sparkContext.broadcast(index)
-    routed = widen(one.select("id", "k", "vec"), "id").mapInArrow(
-        _router(bc, dim, p.probes), "list int, side int, id long, k long, codes binary, vec binary"
-    )
-    routed = scratch.cut(routed.filter("side = 0 OR k > 0"), "routed")
-    sizes = routed.groupBy("list").agg(F.sum(F.expr("int(side = 0)")).alias("ni"), F.sum(F.expr("int(side = 1)")).alias("nq"))
-    sizes = sizes.filter("ni > 0 AND nq > 0").withColumn("bi", F.ceil(F.col("ni") / block).cast("int"))
-    sizes = sizes.withColumn("bq", F.ceil(F.col("nq") * F.col("ni") / F.col("bi") / work).cast("int")).select("list", "bi", "bq")
-    # One row per list, at most max_lists rows.
-    split = routed.join(F.broadcast(sizes), "list")
-    mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("bi")).otherwise(F.col("bq"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("bq")).otherwise(F.col("bi")) - 1))
-    split = split.withColumn("mine", mine).withColumn("other", other)
-    i, q = F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
-    split = split.withColumn("grp", F.xxhash64("list", i, q)).select("grp", "side", "list", "id", "k", "codes", "vec")
-    tasks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32)
-    found = split.repartition(tasks, "grp").sortWithinPartitions("grp", "side").mapInArrow(
-        _searcher(bc, dim, min_cos, p.margin), "id long, k long, other long, cos double"
-    )
-    top = scratch.cut(found, "found")
-    scratch.drop(routed)
+    if min_cos is None:
+        top = _whole_top(one, bc, dim, scratch, p, block, work)
+    else:
+        routed = widen(one.select("id", "k", "vec"), "id").mapInArrow(_router(bc, dim, p.probes), _ROUTED)
+        routed = scratch.cut(routed.filter("side = 0 OR k > 0"), "routed")
+        top = scratch.cut(_scan(routed, bc, dim, min_cos, p, block, work), "found")
+        scratch.drop(routed)
     w = Window.partitionBy("id").orderBy(F.col("cos").desc(), F.col("other"))
     top = top.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k_max).filter("r <= k").select("id", "other", "cos")
     # From distinct vectors to keys. A copy has cosine 1 with its copies; only the least k_max + 1 keys can matter.
@@ -287,7 +347,7 @@ def nearest_vectors(vectors: DataFrame, dim: int, min_cos: float, scratch: Scrat
     full = asks.join(far.union(near), "id").filter("key <> other").select("key", "k", "other", "cos")
     v = Window.partitionBy("key").orderBy(F.col("cos").desc(), F.col("other"))
     best = full.withColumn("r", F.row_number().over(v)).filter(F.col("r") <= k_max).filter("r <= k")
-    return best.filter(F.col("cos") >= min_cos).select("key", "other", "cos")
+    return (best if min_cos is None else best.filter(F.col("cos") >= min_cos)).select("key", "other", "cos")
 
 
 def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -309,21 +369,26 @@ def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return vectors.union(spark.createDataFrame(cells, "key long, k int, vec binary")), dim
 
 
-def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: For whole lists of neighbours, most of which are far: twelve lists have 0.9 of them and more.
+WHOLE = Params(per_list=800, probes=12)
+
+
+def _nearest(spark: SparkSession, sf_dir: str, min_cos: float | None, p: Params = Params()) -> DataFrame:
     vectors, dim = collection(spark, sf_dir)
     scratch = Scratch(spark, "ivfpq")
-    return nearest_vectors(scratch.cut(vectors, "vectors"), dim, 0.90, scratch)
+    return nearest_vectors(scratch.cut(vectors, "vectors"), dim, min_cos, scratch, p)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _nearest(spark, sf_dir)
+    """The cases have a cosine of at least 0.90, so nothing below is looked for."""
+    n = _nearest(spark, sf_dir, 0.90)
     return n.select(F.least("key", "other").alias("vec_a"), F.greatest("key", "other").alias("vec_b")).distinct()
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The neighbour lists themselves, with ranks."""
+    """The neighbour lists themselves, whole and with ranks."""
     w = Window.partitionBy("key").orderBy(F.col("cos").desc(), F.col("other"))
-    return _nearest(spark, sf_dir).withColumn("rank", F.row_number().over(w)).withColumn("cos", F.round("cos", 4))
+    return _nearest(spark, sf_dir, None, WHOLE).withColumn("rank", F.row_number().over(w)).withColumn("cos", F.round("cos", 4))
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}

@@ -152,6 +152,23 @@ def test_nearest_vectors(spark, block, work):
     assert len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+@pytest.mark.parametrize("block,work", [(ivfpq.BLOCK, ivfpq.WORK), (64, 4096)])
+def test_whole_lists_have_no_floor(spark, block, work):
+    """Every vector gets its k neighbours, most of them far under 0.9, from few of many lists."""
+    r = np.random.default_rng(2)
+    x, _ = blobs(60, [12, 5, 30], dim=64, spread=0.9, alone=300, seed=4)
+    x = np.vstack([x, x[:10]])
+    key, k = r.permutation(len(x)), r.choice([0, 1, 3, 12, 40], len(x)).tolist()
+    want = brute_nearest(key, k, x, -2.0)
+    assert len(brute_nearest(key, k, x, 0.9)) < 0.2 * len(want)
+    got = ivfpq.nearest_vectors(vectors(spark, key, k, x), 64, None, Scratch(spark, "t"), ivfpq.Params(per_list=40, probes=12), block, work).collect()
+    each = {}
+    for g in got:
+        each[g.key] = each.get(g.key, 0) + 1
+    assert each == {a: n for a, n in zip(key.tolist(), k) if n} and len({(g.key, g.other) for g in got}) == len(got)
+    assert len(want & {(g.key, g.other) for g in got}) >= 0.9 * len(want)
+
+
 def test_copies_tie_by_key(spark):
     x = np.tile(np.eye(64, dtype=np.float32)[:1], (10, 1))
     got = rows(ivfpq.nearest_vectors(vectors(spark, range(10), [2] * 10, x), 64, 0.9, Scratch(spark, "t")).drop("cos"))
