@@ -1,6 +1,7 @@
 """Problems 2, 4 and 6: clusters, nearest vectors, runs."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -109,6 +110,19 @@ def test_markov_clusters(spark, monkeypatch, block):
     assert got == {f"f{i:04d}": want[g] for i, g in enumerate(label)}
 
 
+def test_similar_pairs_at_the_limit(spark):
+    """Pairs of cosine 0.81: the tables hold their promise for the wanted cosine, not only for 0.90."""
+    r = np.random.default_rng(3)
+    n, dim = 1250, 64
+    a = cells.unit(r.normal(size=(n, dim)))
+    b = r.normal(size=(n, dim))
+    b = cells.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    x = np.vstack([a, 0.81 * a + math.sqrt(1 - 0.81**2) * b]).astype(np.float32)
+    df = spark.createDataFrame([(f"f{i:04d}", bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id string, vec binary, n long")
+    got = {(p.a, p.b) for p in markov.similar_pairs(df, dim, 0.8, Scratch(spark, "t")).collect()}
+    assert sum((f"f{i:04d}", f"f{i + n:04d}") not in got for i in range(n)) <= 5
+
+
 def test_markov_of_few(spark):
     ddl = "id string, vec binary, n long"
     assert markov.markov_clusters(spark.createDataFrame([], ddl), 4).count() == 0
