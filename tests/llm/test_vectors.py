@@ -123,6 +123,23 @@ def test_similar_pairs_at_the_limit(spark):
     assert sum((f"f{i:04d}", f"f{i + n:04d}") not in got for i in range(n)) <= 5
 
 
+def test_typical_members_are_of_all(spark):
+    """Every member is ranked by its mean similarity; the leader, here the least typical, does not stand for the group."""
+    x, label = blobs(3, [40, 9, 2], alone=3, spread=0.3)
+    ids = [f"f{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in zip(ids, x)], "id string, vec binary, n long")
+    want, groups = [], []
+    for g in set(label.tolist()):
+        own = np.flatnonzero(label == g)
+        flow = np.round((x[own].astype(float) @ x[own].T.astype(float)).mean(axis=1), 6)
+        order = np.lexsort((own, -flow))
+        groups += [(ids[i], ids[own[0]], len(own), ids[own[order[-1]]], 0.0) for i in own]
+        want += [(ids[own[0]], ids[own[i]], r + 1) for r, i in enumerate(order[:3])]
+    c = spark.createDataFrame(groups, "id string, cluster_id string, size long, leader string, flow double")
+    got = markov.typical_members(c, df.repartition(3), x.shape[1])
+    assert rows(got.select("cluster_id", "id", "rank")) == sorted(want)
+
+
 def test_markov_of_few(spark):
     ddl = "id string, vec binary, n long"
     assert markov.markov_clusters(spark.createDataFrame([], ddl), 4).count() == 0
