@@ -79,7 +79,7 @@ def y7_report(spark, sf):
 def y3_zones(spark, sf):
     """A trained dictionary: vectors per cell and whether confidences are cosines."""
     m = sound_matrices(spark, sf)
-    c = Z.train_zones(m, "multivector", 32, max_iter=5)
+    c = Z.train_zones(m, "multivector", 256)
     a = Z.assign_cells(widen(m, "result_id"), "result_id", "multivector", c)
     return a.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("conf").between(-1, 1)).alias("sound"))
 

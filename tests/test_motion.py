@@ -143,3 +143,22 @@ def test_evaluation(spark):
     assert (q.lo, q.mid, q.hi) == (0.1, 0.5, 0.9)
     d = spark.createDataFrame([("g", i, float(i), float(-i)) for i in range(4)] + [("h", 0, 1.0, 1.0)], "g string, i int, a double, b double")
     assert {r.g: r.rho for r in E.spearman_by_index(d, "g", "i", "a", "b").collect()} == {"g": pytest.approx(-1), "h": 0.0}
+
+
+def test_zones_are_as_many_as_the_reference_trains(spark, monkeypatch):
+    """The query asks for 256 cells and the operator's own iterations."""
+    from hodograph.plans import q_motion
+
+    asked = {}
+
+    def train(*args, **kwargs):
+        asked.update(k=args[2], rest=kwargs)
+        raise InterruptedError
+
+    monkeypatch.setattr(q_motion, "sound_matrices", lambda *_: None)
+    monkeypatch.setattr(q_motion.Z, "train_zones", train)
+    try:
+        q_motion.y3_zones(spark, "")
+    except InterruptedError:
+        pass
+    assert asked == {"k": 256, "rest": {}}
