@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Most bytes that an operator hands to every executor by broadcast.
 BROADCAST_LIMIT = 64 << 20
+#: Bytes of a partition that costly per-row work gets at most, by the planner's estimate.
+PARTITION_BYTES = 64 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class TooLarge(ValueError):
@@ -19,12 +22,18 @@ class TooLarge(ValueError):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local master gets a temporary folder; on a cluster, whose machines share no such folder, a
+    ``RuntimeError`` is raised.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and sc._jsc.sc().getCheckpointDir().isDefined():
+        base = sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="hodograph-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -59,7 +68,12 @@ class Scratch:
     def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        conf, kept = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")  # what was exchanged for this table is removed once it is written
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEANUP, kept)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.live.append(path)
@@ -69,7 +83,6 @@ class Scratch:
         for path in paths:
             _delete(self.spark, path)
             self.live.remove(path)
-        free_shuffles(self.spark)
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that no later step reads."""
@@ -81,26 +94,31 @@ class Scratch:
         self._remove([p for p in self.live if p not in kept])
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished jobs now and not at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """A side that grows with the data: joined by sort-merge, whatever its compressed files seem to weigh.
+
+    The planner judges a table by the bytes of its files, and arrays and repeated ids are many times larger in a heap.
+    """
+    return df.hint("merge")
+
+
 def widen(df: DataFrame, *keys: str, per_slot: int = 2) -> DataFrame:
     """Spread rows over the cluster before costly per-row work.
 
     A scan of enough splits is left alone. What comes out of an exchange is always spread: adaptive execution would make
-    few partitions of few bytes, and to ask how many would run everything before it.
+    few partitions of few bytes, and to ask how many would run everything before it. Partitions are ``per_slot`` for each
+    slot, or more where they would exceed :data:`PARTITION_BYTES` by the planner's estimate.
     """
     n, plan = slots(df.sparkSession), df._jdf.queryExecution()
     if "Exchange" not in plan.executedPlan().toString() and plan.toRdd().getNumPartitions() >= n:
         return df
-    return df.repartition(n * per_slot, *(F.col(k) for k in keys))
+    size = int(plan.optimizedPlan().stats().sizeInBytes().toString())
+    # An estimate through joins multiplies; a hundred thousand partitions bound what it can do.
+    return df.repartition(min(max(n * per_slot, -(-size // PARTITION_BYTES)), max(n * per_slot, 100_000)), *(F.col(k) for k in keys))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
