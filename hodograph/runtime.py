@@ -116,7 +116,7 @@ def widen(df: DataFrame, *keys: str, per_slot: int = 2) -> DataFrame:
     n, plan = slots(df.sparkSession), df._jdf.queryExecution()
     if "Exchange" not in plan.executedPlan().toString() and plan.toRdd().getNumPartitions() >= n:
         return df
-    size = int(plan.optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
     # An estimate through joins multiplies; a hundred thousand partitions bound what it can do.
     return df.repartition(min(max(n * per_slot, -(-size // PARTITION_BYTES)), max(n * per_slot, 100_000)), *(F.col(k) for k in keys))
 
