@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hodograph.llm.copies import expand_pairs
-from hodograph.runtime import Scratch, read, widen
+from hodograph.runtime import Scratch, read, unbroadcast, widen
 
 #: Rows that one band bucket may hold before its rows must also share a rare token to meet.
 HOT_BUCKET = 1000
@@ -83,21 +83,21 @@ def _signer(rows: int, bands: int):
 def _candidates(signed: DataFrame, sets: DataFrame, threshold: float, hot_bucket: int, scratch: Scratch) -> DataFrame:
     """Distinct pairs that share a bucket and can reach the threshold, as a written table."""
     counts = signed.groupBy("band", "key").count().filter("count > 1")
-    shared = scratch.cut(signed.join(counts, ["band", "key"]), "shared")
+    shared = scratch.cut(signed.join(unbroadcast(counts), ["band", "key"]), "shared")
     cold = shared.filter(F.col("count") <= hot_bucket).select(*SIGNED, F.lit(0).cast("long").alias("token"))
     hot = shared.filter(F.col("count") > hot_bucket).select(*SIGNED)
     if not hot.isEmpty():
         # Two sets at the threshold share one of their rarest tokens (prefix filter): an exact way to split a hot bucket.
-        near = sets.join(hot.select("rep").distinct(), "rep", "left_semi")
+        near = sets.join(unbroadcast(hot.select("rep").distinct()), "rep", "left_semi")
         freq = near.select(F.explode("set").alias("token")).groupBy("token").count()
-        ranked = near.select("rep", F.explode("set").alias("token")).join(freq, "token")
+        ranked = near.select("rep", F.explode("set").alias("token")).join(unbroadcast(freq), "token")
         order = F.array_sort(F.collect_list(F.struct("count", "token")))
         keep = F.size("o") - F.ceil(F.size("o") * threshold - 1e-9) + 1
         rare = ranked.groupBy("rep").agg(order.alias("o")).select("rep", F.explode(F.slice("o", 1, keep.cast("int"))).alias("t"))
-        cold = cold.union(hot.join(rare.select("rep", F.col("t.token").alias("token")), "rep").select(*SIGNED, "token"))
+        cold = cold.union(hot.join(unbroadcast(rare.select("rep", F.col("t.token").alias("token"))), "rep").select(*SIGNED, "token"))
     left = cold.withColumnsRenamed({"rep": "a", "n": "na", "b0": "a0", "b1": "a1"})
     right = cold.withColumnRenamed("rep", "b")
-    met = left.join(right, ["band", "key", "token"]).filter("a < b")
+    met = left.join(unbroadcast(right), ["band", "key", "token"]).filter("a < b")
     # Sets differ in at least as many items as their bitmaps in bits, which bounds what they share; most chance meetings
     # end here, before they are made distinct and before any set is fetched.
     apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
@@ -124,6 +124,7 @@ def similar_sets(
       probability ``miss`` at most; candidates of any band are made distinct and verified exactly, so no false pair is
       returned. Copies are collapsed before, so a hot set is one row. In a bucket of more than ``hot_bucket`` sets only
       sets that share a token of their prefix meet, which loses no pair.
+    * Nothing is broadcast: classes, candidates and members grow with the data, so all joins on them are by sort-merge.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "setjoin")
@@ -134,13 +135,13 @@ def similar_sets(
     sets = one.groupBy("h", "h2").agg(F.min("id").alias("rep"), F.first("set").alias("set"), F.count(F.lit(1)).alias("n"))
     sets = scratch.cut(sets, "classes")
     copied = sets.filter("n > 1").select("h", "h2", "rep")
-    members = one.join(copied, ["h", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    members = one.join(unbroadcast(copied), ["h", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     bands = bands_for(threshold, rows, miss)
     signed = widen(sets.select("rep", "set"), "rep").mapInArrow(_signer(rows, bands), "rep string, band int, key long, n int, b0 long, b1 long")
     found = _candidates(signed, sets.select("rep", "set"), threshold, hot_bucket, scratch)
     a = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
-    both = found.join(a, "a").join(b, "b").withColumn("inter", F.size(F.array_intersect("sa", "sb")))
+    both = found.join(unbroadcast(a), "a").join(unbroadcast(b), "b").withColumn("inter", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("inter")
     pairs = both.filter(F.col("inter") >= threshold * union - 1e-9).select("a", "b", (F.col("inter") / union).alias("jaccard"))
     return pairs, members
@@ -173,7 +174,7 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each walk with a set: its class of equal sets and the number of other classes similar to that."""
     pairs, members = _walks(spark, sf_dir)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(ends, "rep", "left")
+    out = members.join(unbroadcast(ends), "rep", "left")
     return out.select(F.col("id").alias("sequence_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
