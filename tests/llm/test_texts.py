@@ -1,6 +1,7 @@
 """Problems 7, 8 and 9: packing, leaks, look-alikes."""
 
 import random
+import sys
 import unicodedata
 
 import pytest
@@ -26,7 +27,7 @@ def test_same_look(a, b):
     assert PLAIN(a) == PLAIN(b)
 
 
-@pytest.mark.parametrize("a,b", [("a", "b"), ("e", "é"), ("A", "a"), ("1", "l"), ("O", "0"), ("a\nb", "a b"), ("rn", "m"), ("a  b", "a b"), ("и", "й"), ("²", "2"), ("", " ")])
+@pytest.mark.parametrize("a,b", [("a", "b"), ("e", "é"), ("A", "a"), ("1", "l"), ("O", "0"), ("a\nb", "a b"), ("rn", "m"), ("a  b", "a b"), ("и", "й"), ("²", "2"), ("", " "), ("①", "1"), ("ſ", "s"), ("ㄱㅏ", "가")])
 def test_other_look(a, b):
     assert PLAIN(a) != PLAIN(b)
 
@@ -36,13 +37,45 @@ def test_frequency_chooses_the_representative():
     assert cyrillic("a") == "а" and cyrillic("é") == cyrillic("е́") == "é" and PLAIN("а") == "a"
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=1000, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aeoаеоéёẹ̣́̂​ ｅ Kн"), max_size=12))
 def test_one_form(text):
     form = PLAIN(text)
     assert PLAIN(form) == form
     assert PLAIN(unicodedata.normalize("NFD", text)) == form == PLAIN(unicodedata.normalize("NFC", text))
-    assert form == PLAIN._rewrite(unicodedata.normalize("NFD", PLAIN._rewrite(text)))  # by pieces or as a whole
+    assert form == PLAIN.whole(text)  # by pieces or as a whole
+
+
+COMPOSED = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.normalize("NFD", c) != c]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*COMPOSED, "a", "е", "\u0301", "\u0323", "\u034f", "ﬁ", "Ⅳ", "ﾞ", "ｶ", "ᄀ", "ᅡ", "𝐇"]), max_size=8).map("".join))
+def test_one_form_of_composed(text):
+    form = PLAIN(text)
+    assert PLAIN(form) == form == PLAIN.whole(text)
+    assert PLAIN(unicodedata.normalize("NFD", text)) == form == PLAIN(unicodedata.normalize("NFC", text))
+
+
+def test_every_composed_character_has_the_form_of_its_parts():
+    assert [c for c in COMPOSED if PLAIN(c) != PLAIN(unicodedata.normalize("NFD", c)) or PLAIN(PLAIN(c)) != PLAIN(c)] == []
+    pairs, _ = lookalike.relations()
+    assert [p for p in pairs if PLAIN(p[0]) != PLAIN(p[1])] == []
+
+
+def test_public_letters(spark):
+    """The public table adds letters, keeps the fixed ones, and lets no two letters of a script fall together."""
+    got = lookalike.alike_letters(spark)
+    assert set(lookalike.listed()) <= set(got) and len(got) > 100
+    canon = lookalike.Canon(alike=got)
+    greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    for letters in (greek, cyrillic, greek.upper(), cyrillic.upper()):
+        assert len({canon(c) for c in letters}) == len(letters)
+    assert canon("Ⲥ") == canon("C") and canon("σ") != canon("o") and canon("1") != canon("l")
+
+
+def test_kinds_can_be_added():
+    assert lookalike.Canon(kinds=lookalike.KINDS | {"circle"})("ⓗ") == "h" != PLAIN("ⓗ")
 
 
 def test_lookalike_pairs(spark):
