@@ -19,7 +19,7 @@ def test_query_matches_its_sql(spark, con, name):
     sqlcheck.compare(spark, con, registry.queries()[name], registry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["p2_profile", "p4_neighbours", "p7_packed", "p7_windows", "p8_found", "p8_spans", "p8_cleaned", "p9_forms"])
+@pytest.mark.parametrize("name", ["p4_neighbours", "p7_packed", "p7_windows", "p8_found", "p8_spans", "p8_cleaned"])
 def test_query_runs(spark, con, name):
     assert registry.queries()[name](spark, sqlcheck.SF).count() > 0
 

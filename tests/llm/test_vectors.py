@@ -99,8 +99,9 @@ def blobs(n_groups, sizes, dim=32, spread=0.05, alone=30, seed=0):
 
 @pytest.mark.parametrize("block", [markov.BLOCK, 16])
 def test_markov_clusters(spark, monkeypatch, block):
-    """One group holds a third of the records; with small blocks its buckets are cut and its stand-ins are many."""
+    """One group holds a third of the records; with small blocks its buckets are cut and its attractors are many."""
     monkeypatch.setattr(markov, "BLOCK", block)
+    monkeypatch.setattr(markov, "LOCAL", min(block, markov.LOCAL))
     x, label = blobs(8, [120, 7, 20, 5, 40], alone=40)
     df = spark.createDataFrame([(f"f{i:04d}", bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id string, vec binary, n long").repartition(3)
     got = {r.id: r.cluster_id for r in markov.markov_clusters(df, x.shape[1]).collect()}
@@ -110,6 +111,61 @@ def test_markov_clusters(spark, monkeypatch, block):
     assert got == {f"f{i:04d}": want[g] for i, g in enumerate(label)}
 
 
+def test_flow_stands_behind_every_row(spark, monkeypatch):
+    """Each record of a group has an edge and an entry of the flow, in its block or among attractors; the others have none."""
+    monkeypatch.setattr(markov, "LOCAL", 16)
+    x, label = blobs(8, [120, 7, 20, 5, 40], alone=40)
+    ids = [f"f{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in zip(ids, x)], "id string, vec binary, n long").repartition(3)
+    scratch = Scratch(spark, "t")
+    top, member = markov.local_levels(df, x.shape[1], 0.8, scratch)
+    pairs = scratch.cut(markov.similar_pairs(top, x.shape[1], 0.8, scratch), "pairs")
+    flow = markov.markov_flow(pairs, top.select("id", "n"), scratch)
+    via = dict(map(tuple, member.collect()))
+    held = {r.id: r.n for r in top.collect()}
+    linked = {v for p in pairs.collect() for v in (p.a, p.b)}
+    flows = {f.j for f in flow.collect()}
+    size = np.bincount(label)
+    for i, g in zip(ids, label):
+        assert (held[via[i]] > 1 or via[i] in linked & flows) == (size[g] > 1)
+    assert linked == flows and len(linked) >= 2
+
+
+def test_flow_of_cliques_and_copies():
+    """Equal records, near ones and a bridge: cliques stay whole, also where each entry is tiny."""
+    x = np.tile(np.eye(8, dtype=np.float32)[:1], (markov.LOCAL, 1))
+    assert len(set(markov.local_clusters(x, np.ones(len(x), dtype=np.int64), 0.8).tolist())) == 1
+    x, label = blobs(3, [300, 6, 90], alone=5)
+    own = markov.local_clusters(x, np.ones(len(x), dtype=np.int64), 0.8)
+    assert len({(a, b) for a, b in zip(own.tolist(), label.tolist())}) == len(set(own.tolist())) == len(set(label.tolist()))
+    s = np.eye(10)
+    s[:5, :5] = s[5:, 5:] = 1
+    s[4, 5] = s[5, 4] = 0.3
+    flow = markov.flow_of(s, np.ones(10)) > 0
+    assert not flow[:5, 5:].any() and not flow[5:, :5].any()
+
+
+def test_edges_of_a_million_vectors_are_found():
+    """Pairs of cosine 0.80 to 0.85 under the tables for a million rows: 0.99 of them share a bucket."""
+    r = np.random.default_rng(5)
+    n, dim = 4000, 64
+    bits, tables = markov.tables_for(1_000_000, 0.8, 1e-3)
+    a = cells.unit(r.normal(size=(n, dim)))
+    b = r.normal(size=(n, dim))
+    b = cells.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    c = r.uniform(0.80, 0.85, size=(n, 1))
+    planes = markov._planes(tables, bits, dim, 5)
+    x, y = (markov._signatures(v.astype(np.float32), planes) for v in (a, c * a + np.sqrt(1 - c**2) * b))
+    assert (x == y).any(axis=1).mean() >= 0.99
+
+
+def test_flow_without_an_end_is_an_error(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8)], "a string, b string, sim double")
+    w = spark.createDataFrame([(i, 1) for i in "abc"], "id string, n long")
+    with pytest.raises(RuntimeError):
+        markov.markov_flow(pairs, w, Scratch(spark, "t"), rounds=1)
+
+
 def test_similar_pairs_at_the_limit(spark):
     """Pairs of cosine 0.81: the tables hold their promise for the wanted cosine, not only for 0.90."""
     r = np.random.default_rng(3)
