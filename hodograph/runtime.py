@@ -111,14 +111,15 @@ def widen(df: DataFrame, *keys: str, per_slot: int = 2) -> DataFrame:
 
     A scan of enough splits is left alone. What comes out of an exchange is always spread: adaptive execution would make
     few partitions of few bytes, and to ask how many would run everything before it. Partitions are ``per_slot`` for each
-    slot, or more where they would exceed :data:`PARTITION_BYTES` by the planner's estimate.
+    slot, or more where they would exceed :data:`PARTITION_BYTES` of what is read from storage.
     """
     n, plan = slots(df.sparkSession), df._jdf.queryExecution()
     if "Exchange" not in plan.executedPlan().toString() and plan.toRdd().getNumPartitions() >= n:
         return df
-    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
-    # An estimate through joins multiplies; a hundred thousand partitions bound what it can do.
-    return df.repartition(min(max(n * per_slot, -(-size // PARTITION_BYTES)), max(n * per_slot, 100_000)), *(F.col(k) for k in keys))
+    leaves = plan.optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond is what the planner says of a source it knows nothing of
+    return df.repartition(max(n * per_slot, -(-size // PARTITION_BYTES)), *(F.col(k) for k in keys))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
