@@ -15,12 +15,6 @@ def dictionary(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return centroid_matrix(read(spark, sf_dir, "cell_dictionary"))
 
 
-def same_cell(centroids: np.ndarray, cosine: float) -> np.ndarray:
-    """Boolean matrix: equal cells, or cells whose centroids have at least this cosine."""
-    u = unit(centroids)
-    return (u @ u.T >= cosine - 1e-12) | np.eye(len(u), dtype=bool)
-
-
 def steps(trajectories: DataFrame, conf: bool) -> DataFrame:
     """``(fact_id, steps)`` once per fact; steps ``(pos, cell[, conf])`` ascend in ``pos`` and may repeat one.
 

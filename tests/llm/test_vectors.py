@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -32,14 +33,14 @@ def test_segmentation_is_optimal(seq, seed):
     u = r.random((5, 5))
     u = (u + u.T) / 2
     np.fill_diagonal(u, 0)
-    got = runs.segment(np.array(seq), u, 0.3)
+    got = runs.segment(np.array(seq), lambda own: np.array([[0.0 if x == y else (u[x, y] if max(x, y) < len(u) else 1.0) for y in own] for x in own]), 0.3)
     best = min(cost(seq, c, u, 0.3) for k in range(len(seq)) for c in itertools.combinations(range(1, len(seq)), k))
     assert cost(seq, [a for a, _, _ in got][1:], u, 0.3) == pytest.approx(best)
     assert [b for _, b, _ in got] == [a - 1 for a, _, _ in got[1:]] + [len(seq) - 1]
 
 
 def test_runs_of_odd_rows(spark):
-    same = np.array([[0, 0, 1], [0, 0, 1], [1, 1, 0.0]])
+    same = runs.Unlikeness(np.array([[1, 0], [1, 0.01], [0, 1]]))
     data = [
         ("a", [0, 1, 2, 2, 9, 9, 8], [0, 5, 6, 7, 9, 8, 10]), ("a", [0, 1, 2, 2, 9, 9, 8], [0, 5, 6, 7, 9, 8, 10]), ("twice", [0, 0, 2], [3, 3, 4]),
         ("null", None, [1]), ("none", [], []), ("holes", [0, None, 0], [1, 2, None]), (None, [0], [0]), ("short", [2, 2, 2], [1, 2]),
@@ -57,10 +58,37 @@ def test_runs_of_odd_rows(spark):
 def test_a_long_sequence(spark):
     n = 20_000
     df = spark.createDataFrame([("long", [i // 100 % 3 for i in range(n)], list(range(n)))], "fact_id string, celle array<int>, pos array<int>")
-    got = runs.collapse_runs(df, 1 - np.eye(3)).collect()
+    got = runs.collapse_runs(df, runs.Unlikeness(np.eye(3))).collect()
     assert len(got) == n // 100 and all(g.n_steps == 100 for g in got)
 
 
+@pytest.mark.parametrize("cells", [np.zeros(1_000_000), np.arange(1_000_000) // 7 % 2], ids=["equal", "near"])
+def test_time_is_linear_in_a_run(cells):
+    """A million equal or nearly equal steps, all of which tie, are one run."""
+    began = time.perf_counter()
+    got = runs.segment(cells.astype(np.int64), runs.Unlikeness(np.array([[1, 0], [1, 0.1]])))
+    assert len(got) == 1 and got[0][:2] == (0, 999_999) and time.perf_counter() - began < 10
+
+
+def test_graded_runs_take_in_odd_steps():
+    """With a greater penalty one odd step within a run does not end it; two boundaries would cost more."""
+    c = np.array([[1, 0, 0], [0.8, 0.6, 0], [0, 0, 1.0]])
+    seq = np.array([0, 0, 1, 0, 0, 2, 2, 2])
+    assert [r[:2] for r in runs.segment(seq, runs.Unlikeness(c), runs.TOLERANT)] == [(0, 4), (5, 7)]
+    assert [r[:2] for r in runs.segment(seq, runs.Unlikeness(c))] == [(0, 1), (2, 2), (3, 4), (5, 7)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(-1, 6), min_size=1, max_size=12), min_size=1, max_size=30))
+def test_sequences_side_by_side(seqs):
+    """Many sequences at once give what each gives alone."""
+    u = runs.Unlikeness(np.random.default_rng(1).normal(size=(5, 3)))
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+    starts, typical = runs.segment_all(np.concatenate(seqs), offsets, u, 0.3)
+    want = [(a + o, z) for s, o in zip(seqs, offsets) for a, _, z in runs.segment(np.array(s), u, 0.3)]
+    assert list(zip(starts.tolist(), typical.tolist())) == want
+
+
 # --- clusters -------------------------------------------------------------------------------------------------------
 def trajectories(spark, data):
     return spark.createDataFrame([(*d, 1) for d in data], "fact_id string, celle array<int>, pos array<int>, conf array<float>, id int")
