@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hodograph.functions.numeric import finite, known
 from hodograph.functions.scalar import combine, distance_to_ideal, normalize
-from hodograph.operators.skyline import SMALL, local_band
+from hodograph.operators.skyline import blocks, local_band
 from hodograph.plans.config import GraphConfig
 from hodograph.runtime import Scratch
 
@@ -20,28 +20,43 @@ def first_by_id(facts: DataFrame, order: str) -> DataFrame:
     return facts.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(order, *CHANNELS)).alias("f")).select("id", *(f"f.{c}" for c in CHANNELS))
 
 
-def partners(facts: DataFrame, k: int) -> DataFrame:
-    """Facts that can be among the ``k`` best partners of any fact.
+def _signs(columns) -> Column:
+    """Which channels are negative, as bits."""
+    return sum((F.when(F.col(c) < 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0)).cast("int")
 
-    A pair's score, and every tie rule after it, can only gain when a channel of the partner grows, as long as channels
-    are not negative. So a fact that ``k + 1`` others with lesser ids match or exceed in all channels is never needed (one
-    more than ``k``, since the fact itself is no partner). What is left grows with a power of the logarithm of the rows
-    and turns the comparison of all pairs into facts times partners. With a negative channel all facts are partners.
+
+def partners(facts: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``(signs, id, channels)`` of facts that can be among the ``k`` best partners of any fact with these signs; their number.
+
+    A pair's score, and every tie rule after it, can only gain when the product of a channel grows, so when the partner's
+    channel grows or, for a fact whose own is negative, falls. So a fact that ``k + 1`` others with lesser ids match or
+    exceed in all channels, each in the direction of its sign, is never needed (one more than ``k``, since the fact itself
+    is no partner). What is left grows with a power of the logarithm of the rows and turns the comparison of all pairs into
+    facts times partners. There are eight combinations of signs at most.
     """
-    least = facts.agg(*(F.min(c).alias(c) for c in CHANNELS)).first()
-    if any(v is not None and v < 0 for v in least):
-        return facts
-    typed = facts.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in CHANNELS))
-    return local_band(typed, [*CHANNELS, "id"], [-1, -1, -1, 1], k + 1, False)
+    typed = scratch.cut(facts.select(F.col("id").cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in CHANNELS)), "facts")
+    out, total = None, 0
+    for signs in sorted(r[0] for r in typed.select(_signs(CHANNELS)).distinct().collect()):  # eight at most
+        way = [1 if signs >> i & 1 else -1 for i in range(len(CHANNELS))]
+        some, n = local_band(typed, [*CHANNELS, "id"], [*way, 1], k + 1, False, scratch)
+        some = some.select(F.lit(signs).alias("signs"), "id", *CHANNELS)
+        out, total = some if out is None else out.union(some), total + n
+    return (typed.select(F.lit(0).alias("signs"), "id", *CHANNELS), 0) if out is None else (out, total)
 
 
 def scored_pairs(facts: DataFrame, cfg: GraphConfig) -> DataFrame:
-    """``(src, dst, score, distance, total, colbert, sparse, relational)``: each fact with its possible partners."""
+    """``(src, dst, score, distance, total, colbert, sparse, relational)``: each fact with its possible partners.
+
+    Partners are broadcast in blocks of bounded bytes, so facts are never shuffled for it.
+    """
     sound = facts.filter(known(F.col("colbert")) & known(F.col("sparse")) & known(F.col("relational")))
-    other = partners(sound, max(cfg.k, 1)).select(F.col("id").alias("dst"), *(F.col(c).alias("o_" + c) for c in CHANNELS))
-    if other.count() <= SMALL:
-        other = F.broadcast(other)
-    both = sound.join(other, F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst", *((F.col(c) * F.col("o_" + c)).alias(c) for c in CHANNELS))
+    other, n = partners(sound, max(cfg.k, 1), Scratch(facts.sparkSession, "partners"))
+    other = other.select(F.col("signs").alias("o_signs"), F.col("id").alias("dst"), *(F.col(c).alias("o_" + c) for c in CHANNELS))
+    signed, both = sound.withColumn("signs", _signs(CHANNELS)), None
+    for part in blocks(other, n, 40):
+        met = signed.join(part, (F.col("signs") == F.col("o_signs")) & (F.col("id") != F.col("dst")))
+        both = met if both is None else both.union(met)
+    both = both.select(F.col("id").alias("src"), "dst", *((F.col(c) * F.col("o_" + c)).alias(c) for c in CHANNELS))
     axes = normalize(F.col("colbert"), F.col("sparse"), F.col("relational"))
     return both.select(
         "*", combine(axes, cfg.weights).alias("score"), distance_to_ideal(axes, cfg.weights).alias("distance"), (axes[0] + axes[1] + axes[2]).alias("total")

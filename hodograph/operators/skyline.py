@@ -6,14 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hodograph.functions.scalar import dominates
-from hodograph.runtime import slots, widen
+from hodograph.runtime import BROADCAST_LIMIT, Scratch, widen
 
-#: Rows of one side of a theta join that are handed to every executor.
-SMALL = 200_000
+#: Rows that one task compares with one another.
+HELD = 1 << 16
+
+
+def blocks(df: DataFrame, n: int, row_bytes: int) -> list[DataFrame]:
+    """A written table of ``n`` rows as parts of at most :data:`BROADCAST_LIMIT` bytes, each to be broadcast.
+
+    A theta join with all rows is the union (or, for an anti join, the chain) of those with its parts.
+    """
+    k = max(1, -(-n * row_bytes // BROADCAST_LIMIT))
+    if k == 1:
+        return [F.broadcast(df)]
+    return [F.broadcast(df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(k)) == i)) for i in range(k)]
 
 
 def beaten(x: np.ndarray, y: np.ndarray, strict: bool) -> np.ndarray:
@@ -66,25 +77,37 @@ def _local(columns: list[str], signs: list[int], limit: int, strict: bool):
     return keep
 
 
-def local_band(df: DataFrame, columns: list[str], signs: list[int], limit: int, strict: bool) -> DataFrame:
-    """Drop rows beaten by ``limit`` others of their own partition; then once more over fewer partitions."""
+def local_band(df: DataFrame, columns: list[str], signs: list[int], limit: int, strict: bool, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``(rows, number)``: rows without those beaten by ``limit`` others that they met in a partition, as a written table.
+
+    Survivors meet again in random partitions of at most :data:`HELD` rows until that drops less than a fifth of them.
+    """
     step = _local(columns, signs, limit, strict)
-    once = widen(df).mapInArrow(step, df.schema)
-    return once.repartition(max(1, slots(df.sparkSession) // 4)).mapInArrow(step, df.schema)
+    now, n, parts = widen(df), None, 2
+    while True:
+        seen = Observation()
+        met = scratch.cut(now.mapInArrow(step, df.schema).observe(seen, F.count(F.lit(1)).alias("n")), "band")
+        before, n = n, seen.get["n"] or 0
+        if parts == 1 or n == 0 or (before is not None and n > 0.8 * before):
+            return met, n
+        parts = -(-n // HELD)
+        now = met.repartition(parts)
 
 
 def pareto_front(df: DataFrame, costs: list[str]) -> DataFrame:
     """Rows that no other row dominates (no cost greater, one less). Equal rows all stay; a row with an unknown cost
     is not comparable and stays. An empty input gives an empty result.
 
-    Each partition drops what its own rows dominate; survivors meet in an anti join on the dominance condition. The
-    join is broadcast if the survivors are at most :data:`SMALL` rows, else the planner chooses.
+    Partitions drop what their own rows dominate. What one last partition has compared is the front; where survivors need
+    more, they meet in anti joins with their distinct costs, broadcast in blocks of bounded bytes.
     """
     filled = df.select(*df.columns, *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"_c{i}") for i, c in enumerate(costs)))
     names = [f"_c{i}" for i in range(len(costs))]
-    front = local_band(filled, names, [1] * len(costs), 1, True)
-    other = front.select(*(F.col(n).alias("_o" + n) for n in names)).distinct()
-    if other.count() <= SMALL:
-        other = F.broadcast(other)
-    rule = dominates([F.col("_o" + n) for n in names], [F.col(n) for n in names])
-    return front.join(other, rule, "left_anti").select(*df.columns)
+    scratch = Scratch(df.sparkSession, "front")
+    front, n = local_band(filled, names, [1] * len(costs), 1, True, scratch)
+    if n > HELD:
+        other = scratch.cut(front.select(*(F.col(c).alias("_o" + c) for c in names)).distinct(), "costs")
+        rule = dominates([F.col("_o" + c) for c in names], [F.col(c) for c in names])
+        for part in blocks(other, n, 8 * len(costs)):
+            front = front.join(part, rule, "left_anti")
+    return front.select(*df.columns)

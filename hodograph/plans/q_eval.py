@@ -61,7 +61,7 @@ def e7_bands(spark, sf):
 def e9_path_sets(spark, sf):
     """Overlap of the beam's paths under two weightings of the action, per root."""
     adj, states, roots = q_motion._search(spark, sf)
-    runs = [B.beam_search(adj, states, roots, SolverConfig(horizon=2, kappa=1000.0, beta=b))[0].select("root", q_motion._text().alias("path")) for b in (1.0, 50.0)]
+    runs = [B.beam_search(adj, states, roots, SolverConfig(kappa=1000.0, beta=b))[0].select("root", q_motion._text().alias("path")) for b in (1.0, 50.0)]
     return E.path_set_jaccard(*runs, "root", "path").select("root", F.round("jaccard", 9).alias("jaccard"))
 
 
@@ -115,11 +115,14 @@ def e16_representatives(spark, sf):
 
 
 def e17_stuck_roots(spark, sf):
-    """Roots that have edges but no path with a step."""
-    adj, states, roots = q_motion._search(spark, sf)
-    paths, _ = B.beam_search(adj, states, roots, SolverConfig(horizon=2, kappa=1000.0))
-    went = paths.filter(F.size("path") > 0).select("root").distinct()
-    return adj.select(F.col("node").alias("root")).distinct().join(went, "root", "left_anti")
+    """Roots of the stored graph that have edges but no path with a step: all their neighbours are in their own state."""
+    e = q_graph._edges(spark, sf).fillna(0.0)
+    nodes = q_graph._nodes(spark, sf)
+    adj, states = q_graph.G.adjacency(e), q_motion.K.node_states(nodes, e)
+    linked = adj.select(F.col("node").alias("root")).distinct()
+    # Whether there is a first step is settled by the first level.
+    paths, _ = B.beam_search(adj, states, states.withColumnRenamed("node", "root"), SolverConfig(horizon=1, kappa=1000.0))
+    return linked.join(paths.filter(F.size("path") > 0).select("root").distinct(), "root", "left_anti")
 
 
 def e18_permutations(spark, sf):
@@ -145,7 +148,7 @@ def e20_stress(spark, sf):
 def e22_dissection(spark, sf):
     """The cheapest path of each root, step by step, with the cost so far."""
     adj, states, roots = q_motion._search(spark, sf)
-    best = B.exhaustive(adj, states, roots, q_motion.SOLVER)
+    best = B.exhaustive(adj, states, roots, q_motion.SHORT)
     s = F.concat(F.array("root"), "path")
     step = best.select("root", F.posexplode("path").alias("i", "node"), s.alias("all")).withColumn("from", F.element_at("all", F.col("i") + 1))
     a = q_motion.K.edge_actions(q_motion._proximity(spark, sf)[1], states).select(F.col("node").alias("from"), F.col("other").alias("node"), "action")
@@ -164,7 +167,7 @@ QUERIES = {
 SC = """raw AS (SELECT graph_id AS category, unnest(['colbert', 'sparse', 'relational']) AS level, unnest([colbert, sparse, relational]) AS score FROM edges),
 sc AS (SELECT * FROM raw WHERE isfinite(score) AND category IS NOT NULL)"""
 _GATE = f"""{AXES}, ga AS (SELECT relational, CASE WHEN {KNOWN.format('d')} AND {KNOWN.format('s')} THEN d * 0.3 + s * 0.7 END AS gate FROM axes WHERE isfinite(relational))"""
-PROX, _levels, _ends, _ACT, _near = q_motion.PROX, q_motion._levels, q_motion._ends, q_motion._ACT, q_graph._near
+PROX, EDGES_FULL, _levels, _ends, _ACT, _near = q_motion.PROX, q_motion.EDGES_FULL, q_motion._levels, q_motion._ends, q_motion._ACT, q_graph._near
 
 
 def _grid_sql() -> str:
@@ -205,7 +208,14 @@ SQL = {
     "e15_worst": """SELECT src, round(avg(abs(score - colbert)), 9) AS gap, count(*) AS n FROM edges WHERE isfinite(colbert) AND isfinite(score) AND src IS NOT NULL
         GROUP BY src ORDER BY gap DESC, src LIMIT 15""",
     "e16_representatives": "SELECT graph_id, min(src) AS root FROM edges WHERE src IS NOT NULL GROUP BY graph_id",
-    "e17_stuck_roots": f"""WITH {PROX}, {_levels(True, 2)}, {_ends(2)} SELECT DISTINCT node AS root FROM adj WHERE node NOT IN (SELECT root FROM done WHERE len(path) > 0)""",
+    "e9_path_sets": f"""WITH {PROX}, x AS (WITH {_levels(True, 8)}, {_ends(8)} SELECT root, array_to_string(path, '>') AS p FROM done),
+        y AS (WITH {_levels(True, 8, 50)}, {_ends(8)} SELECT root, array_to_string(path, '>') AS p FROM done),
+        b AS (SELECT root, p, max(i) AS i, max(j) AS j FROM (SELECT root, p, 1 AS i, 0 AS j FROM x UNION ALL SELECT root, p, 0, 1 FROM y) GROUP BY root, p)
+        SELECT root, round(sum(i * j) / count(*), 9) AS jaccard FROM b GROUP BY root""",
+    "e17_stuck_roots": f"""WITH {EDGES_FULL}, en AS (SELECT unnest([src, dst]) AS node, score, coalesce(nullif(colbert, '-inf'::DOUBLE), 0) AS c,
+            (coalesce(nullif(sparse, '-inf'::DOUBLE), 0) + coalesce(nullif(relational, '-inf'::DOUBLE), 0)) / 2 AS r FROM ef),
+        s0 AS (SELECT node, avg(score) AS v, avg(c) AS a, avg(r) AS k FROM en GROUP BY node), ad AS (SELECT src AS x, dst AS y FROM ef UNION ALL SELECT dst, src FROM ef)
+        SELECT x AS root FROM ad JOIN s0 s ON s.node = x JOIN s0 t ON t.node = y GROUP BY x HAVING bool_and(s.v = t.v AND s.a = t.a AND s.k = t.k)""",
     "e18_permutations": r"""WITH i AS (SELECT text, list_sort(list_filter(regexp_split_to_array(regexp_replace(text, '[,.]', '', 'g'), '\s+'), lambda w: w <> '')) AS w FROM eval_items),
         g AS (SELECT w, count(*) AS n, count(DISTINCT text) AS t FROM i GROUP BY w) SELECT CAST(sum(n) AS BIGINT) AS n_items, count(*) FILTER (WHERE t > 1) AS n_permuted FROM g""",
     "e22_dissection": f"""WITH {PROX}, {_levels(False)}, {_ends()}, b AS (SELECT root, min({{'c': round(cost, 12), 'p': path}}).p AS p FROM done WHERE isfinite(cost) GROUP BY root),

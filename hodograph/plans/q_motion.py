@@ -200,7 +200,9 @@ def e19_actions(spark, sf):
 
 
 # --- search ---------------------------------------------------------------------------------------------------------
-SOLVER = SolverConfig(horizon=3, kappa=1000.0)
+#: The default horizon; all simple paths, which :func:`B.exhaustive` goes through, are looked at up to three steps.
+SOLVER = SolverConfig(kappa=1000.0)
+SHORT = SolverConfig(horizon=3, kappa=1000.0)
 
 
 def _search(spark, sf):
@@ -224,23 +226,23 @@ def f6_levels(spark, sf):
 
 
 def f17_exhaustive(spark, sf):
-    return B.exhaustive(*_search(spark, sf), SOLVER).select("root", F.round("cost", 7).alias("cost"))
+    return B.exhaustive(*_search(spark, sf), SHORT).select("root", F.round("cost", 7).alias("cost"))
 
 
 def f18_deviation(spark, sf):
     """By how much the beam's cheapest path exceeds the cheapest of all."""
     adj, states, roots = _search(spark, sf)
-    paths, _ = B.beam_search(adj, states, roots, SOLVER)
+    paths, _ = B.beam_search(adj, states, roots, SHORT)
     beam = paths.groupBy("root").agg(F.min("cost").alias("beam"))
-    both = beam.join(B.exhaustive(adj, states, roots, SOLVER), "root")
+    both = beam.join(B.exhaustive(adj, states, roots, SHORT), "root")
     gap = F.greatest(F.col("beam") - F.col("cost"), F.lit(0.0))
     return both.agg(F.count(F.lit(1)).alias("n_roots"), F.round(F.avg(gap), 7).alias("mean_gap"), F.round(F.max(gap), 7).alias("max_gap"), F.bool_and(F.col("beam") >= F.col("cost") - 1e-9).alias("sound"))
 
 
 def f16_throughput(spark, sf):
-    """Nodes made and kept at growing horizons. A level does not depend on how many follow, so one search has them all."""
+    """Nodes made and kept at horizons 1, 2, 3, 4, 5 and 8. A level does not depend on how many follow, so one search has them all."""
     _, levels = B.beam_search(*_search(spark, sf), SOLVER)
-    each = levels.withColumn("horizon", F.explode(F.sequence(F.col("depth"), F.lit(SOLVER.horizon))))
+    each = levels.withColumn("horizon", F.explode(F.array(*map(F.lit, (1, 2, 3, 4, 5, 8))))).filter("depth <= horizon")
     return each.groupBy("horizon").agg(F.sum("n_generated").alias("n_generated"), F.sum("n_kept").alias("n_kept"))
 
 
@@ -282,12 +284,12 @@ EDGES_FULL = """ef AS (SELECT src, dst, e.s AS score, e.c AS colbert, e.p AS spa
   FROM edges WHERE src <> dst AND isfinite(score) GROUP BY 1, 2))"""
 
 
-def _levels(pruned: bool, horizon: int = 3) -> str:
+def _levels(pruned: bool, horizon: int = 3, beta: float = 1) -> str:
     ctes = ["l0 AS (SELECT node AS root, node, v, a, k, 0.0::DOUBLE AS cost, []::BIGINT[] AS path FROM sta)"]
     for d in range(1, horizon + 1):
         same = "AND NOT (t.v = s.v AND t.a = s.a AND t.k = s.k)" if pruned else ""
         ctes.append(
-            f"""g{d} AS (SELECT s.root, t.node, t.v, t.a, t.k, s.cost + {_ACT.format(t="t.", s="s.")} AS cost, list_append(s.path, t.node) AS path
+            f"""g{d} AS (SELECT s.root, t.node, t.v, t.a, t.k, s.cost + {_ACT.format(t="t.", s="s.").replace("+ (t.a", f"+ {beta} * (t.a")} AS cost, list_append(s.path, t.node) AS path
             FROM l{d - 1} s JOIN adj ON adj.node = s.node JOIN sta t ON t.node = adj.other WHERE adj.other <> s.root AND NOT list_contains(s.path, adj.other) {same})"""
         )
         keep = "QUALIFY cost - min(cost) OVER (PARTITION BY root) <= -1000.0 * ln(1 - 1e-5)" if pruned else ""
@@ -301,7 +303,7 @@ def _ends(horizon: int = 3) -> str:
 
 
 _COUNTS = "cnt AS (" + " UNION ALL ".join(
-    f"SELECT root, {d} AS depth, count(*) AS n_generated, (SELECT count(*) FROM l{d} WHERE l{d}.root = g{d}.root) AS n_kept FROM g{d} GROUP BY root" for d in (1, 2, 3)
+    f"SELECT root, {d} AS depth, count(*) AS n_generated, (SELECT count(*) FROM l{d} WHERE l{d}.root = g{d}.root) AS n_kept FROM g{d} GROUP BY root" for d in range(1, 9)
 ) + ")"
 
 # One row of the cost matrix per step of the recursion; a row is folded from left to right, and each of its cells keeps the
@@ -394,13 +396,13 @@ SQL = {
         x AS (SELECT {_ACT.format(t="t.", s="s.")} AS action FROM e JOIN n s ON s.node = src JOIN n t ON t.node = dst)
         SELECT round(min(action) FILTER (WHERE action > 1e-9 AND isfinite(action)), 8) AS min_step FROM x""",
     "f11_node_states": f"WITH {PROX} SELECT node, round(v, 7) + 0.0 AS v, round(a, 7) + 0.0 AS a, round(k, 7) + 0.0 AS k FROM sta",
-    "f7_beam": f"WITH {PROX}, {_levels(True)}, {_ends()} SELECT root, array_to_string(path, '>') AS path, round(cost, 7) AS cost FROM done",
-    "f6_levels": f"WITH {PROX}, {_levels(True)}, {_COUNTS} SELECT * FROM cnt",
+    "f7_beam": f"WITH {PROX}, {_levels(True, 8)}, {_ends(8)} SELECT root, array_to_string(path, '>') AS path, round(cost, 7) AS cost FROM done",
+    "f6_levels": f"WITH {PROX}, {_levels(True, 8)}, {_COUNTS} SELECT * FROM cnt",
     "f17_exhaustive": f"WITH {PROX}, {_levels(False)}, {_ends()} SELECT root, round(min(cost), 7) AS cost FROM done GROUP BY root",
     "f18_deviation": f"""WITH {PROX}, e AS (WITH {_levels(False)}, {_ends()} SELECT root, min(cost) AS c FROM done GROUP BY root),
         b AS (WITH {_levels(True)}, {_ends()} SELECT root, min(cost) AS c FROM done GROUP BY root)
         SELECT count(*) AS n_roots, round(avg(greatest(b.c - e.c, 0)), 7) AS mean_gap, round(max(greatest(b.c - e.c, 0)), 7) AS max_gap, bool_and(b.c >= e.c - 1e-9) AS sound
         FROM b JOIN e USING (root)""",
-    "f16_throughput": f"""WITH {PROX}, {_levels(True)}, {_COUNTS}, h AS (SELECT unnest([1, 2, 3]) AS horizon)
+    "f16_throughput": f"""WITH {PROX}, {_levels(True, 8)}, {_COUNTS}, h AS (SELECT unnest([1, 2, 3, 4, 5, 8]) AS horizon)
         SELECT horizon::INT AS horizon, CAST(sum(n_generated) AS BIGINT) AS n_generated, CAST(sum(n_kept) AS BIGINT) AS n_kept FROM h JOIN cnt ON depth <= horizon GROUP BY horizon""",
 }
