@@ -16,7 +16,7 @@ from hodograph.plans import q_graph
 from hodograph.plans.config import AlignConfig, SolverConfig
 from hodograph.plans.q_graph import FACTS, _graph, _near
 from hodograph.plans.q_walks import MATS, sound_matrices
-from hodograph.runtime import read, widen
+from hodograph.runtime import Scratch, read, widen
 
 
 # --- cells ----------------------------------------------------------------------------------------------------------
@@ -207,7 +207,9 @@ SHORT = SolverConfig(horizon=3, kappa=1000.0)
 
 def _search(spark, sf):
     nodes, e = _proximity(spark, sf)
-    states = K.node_states(nodes, e)
+    scratch = Scratch(spark, "search")
+    e = scratch.cut(e, "graph")
+    states = scratch.cut(K.node_states(nodes, e), "states")
     return G.adjacency(e), states, states.withColumnRenamed("node", "root")
 
 
