@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hodograph.runtime import Scratch, read, small_rows, widen
 
+#: A byte-level BPE rank file in the format of tiktoken: a token in base 64 and its rank on each line.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Tokens and rows that one packing task gets; more make more tasks, each with at most one badly filled window.
 PART_TOKENS, PART_ROWS = 8_000_000, 50_000
@@ -86,18 +87,21 @@ def pack(items: list[tuple[str, int, int, int]], capacity: int, share: dict[str,
         room, slot = capacity, 0
         for s in queues:
             credit[s] += capacity * share.get(s, 0.0)
+        ranked = sorted((-credit[s], s) for s in queues)  # who is owed most; one source moves with each item
         while True:
-            ranked = sorted(queues, key=lambda s: (-credit[s], s))
-            pick = next(((s, at) for s in ranked if (at := queues[s].fit(min(room, credit[s]))) >= 0), None)
-            pick = pick or next(((s, at) for s in ranked if (at := queues[s].fit(room)) >= 0), None)
+            pick = next(((r, at) for r, (owed, s) in enumerate(ranked) if (at := queues[s].fit(min(room, -owed))) >= 0), None)
+            pick = pick or next(((r, at) for r, (_, s) in enumerate(ranked) if (at := queues[s].fit(room)) >= 0), None)
             if pick is None:
                 break
-            s, at = pick
+            r, at = pick
+            s = ranked.pop(r)[1]
             tokens, i, piece = queues[s].take(at)
             out.append((window, slot, s, i, piece, tokens))
             room, slot = room - tokens, slot + 1
             credit[s] -= tokens
-            if not queues[s].sizes:
+            if queues[s].sizes:
+                insort(ranked, (-credit[s], s))
+            else:
                 del queues[s]
         window += 1
     return out
@@ -139,12 +143,14 @@ def pack_texts(
     by = counts.groupBy("part", "source").agg(F.sum("tokens").alias("t"))
     if shares is None:
         shares = by.groupBy("source").agg((F.sum("t") / F.lit(float(total["t"] or 1))).alias("share"))
-    sources = shares.select("source", "share")
-    # Every part and source, so that a part without a source still moves its balance on: parts x sources rows.
-    grid = by.select("part").distinct().crossJoin(sources).join(by, ["part", "source"], "left").fillna(0, ["t"])
-    sums = grid.join(by.groupBy("part").agg(F.sum("t").alias("whole")), "part")
+    # What a source is owed when a part begins: its share of all tokens before, less its own before. Only parts that hold
+    # the source need it, so there is one row for each of these and nothing is crossed.
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    balance = sums.select("part", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("whole") - F.col("t")).over(before), F.lit(0.0)).alias("carry"))
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    whole = by.groupBy("part").agg(F.sum("t").alias("whole")).withColumn("ahead", F.coalesce(F.sum("whole").over(first), F.lit(0)))
+    sums = by.join(shares.select("source", "share"), "source", "left").fillna(0.0, ["share"]).join(whole, "part")
+    own = F.coalesce(F.sum("t").over(before), F.lit(0))
+    balance = sums.select("part", "source", "share", (F.col("share") * F.col("ahead") - own).alias("carry"))
     kinds = [(int(r[0]), int(r[1])) for r in small_rows(containers.dropna().distinct(), 1000, "containers") if r[1] > 0]
     if not kinds:
         return spark.createDataFrame([], "container_id int, part int, window long, slot int, source string, id long, piece int, tokens long")
