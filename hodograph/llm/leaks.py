@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -18,14 +19,17 @@ from hodograph.runtime import read, widen
 GRAM = 5
 #: Words of a case, and how many words of a case allow one misspelt.
 LEAST, PER_ERROR = 12, 8
-#: Words of evaluation text that one broadcast holds; more items are scanned in further blocks.
-BLOCK_WORDS = 500_000
+#: Characters of evaluation text that one broadcast holds; more items are scanned in further blocks.
+BLOCK_CHARS = 3_000_000
 #: Spellings that a task remembers.
 REMEMBERED = 400_000
 
 INVISIBLE = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff"
 HIDDEN = re.compile(f"[{INVISIBLE}]")
-WORD = re.compile("[^\\W_](?:[^\\W_]|[\u0300-\u036f])*")
+# Scripts written without blanks between words (Thai, Lao, Myanmar, Khmer, kana, ideographs); each of their
+# characters is a word.
+UNSPACED = "\u0e01-\u0e2f\u0e40-\u0e46\u0e81-\u0eae\u1000-\u102a\u1780-\u17a2\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003134f"
+WORD = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}](?:[^\\W_{UNSPACED}]|[\u0300-\u036f])*")
 #: What a subtitle file has between its spoken words: cue times and numbers, markup, sound descriptions.
 NOISE = re.compile(
     r"<[^<>\n]{0,300}>"
@@ -118,21 +122,36 @@ class Items:
         self.vocabulary = vocabulary
 
 
-def stretch(kind: np.ndarray) -> tuple[int, int] | None:
-    """Longest window of words (0 same, 1 misspelt, 2 different) that is a case; None if there is none."""
-    best = None
-    for a in np.flatnonzero(kind == 0):
-        wrong = 0
-        for b in range(a, len(kind)):
-            if kind[b] == 2:
-                break
-            wrong += int(kind[b])
-            n = b - a + 1
-            if kind[b] == 0 and n >= LEAST and wrong * PER_ERROR <= n and (best is None or n > best[1] - best[0]):
-                best = (int(a), b + 1)
+def stretch(kind: np.ndarray, end: np.ndarray | None = None) -> tuple[int, int] | None:
+    """Longest window of words (0 same, 1 misspelt, 2 different) that is a case, the first among equals; None if there is none.
+
+    ``end`` tells which words may be first or last: those that are the same, unless given. A window is a case if it has
+    :data:`LEAST` words, none different, and at most one in :data:`PER_ERROR` misspelt, so if ``n - 8 * wrong`` is not
+    negative; the starts worth trying are those of a new least prefix sum, so time grows as ``n log n``.
+    """
+    end = kind == 0 if end is None else end
+    best, at = None, 0
+    for stop in [*np.flatnonzero(kind == 2).tolist(), len(kind)]:
+        if stop - at >= LEAST:
+            total, starts, lows = 0, [], []
+            for i in range(at, stop):
+                if end[i] and (not lows or -total > lows[-1]):
+                    starts.append(i), lows.append(-total)
+                total += 1 - PER_ERROR * int(kind[i])
+                if end[i] and lows and (j := bisect_left(lows, -total)) < len(starts):
+                    n = i + 1 - starts[j]
+                    if n >= LEAST and (best is None or n > best[1] - best[0]):
+                        best = (starts[j], i + 1)
+        at = stop + 1
     return best
 
 
+def slip(a: str, b: str) -> bool:
+    """A misspelling that is one for certain, without like neighbours: one edit of five letters and more, two of eight."""
+    n = min(len(a), len(b))
+    return n >= 5 and edits(a, b, most := 1 + (n >= 8)) <= most
+
+
 def verify(items: Items, words: list[str], ids: np.ndarray, seeds: np.ndarray, hashes: np.ndarray) -> dict[int, tuple[int, int]]:
     """From seed places in one document to ``item: (first, last + 1)`` of its longest case, in words."""
     found: dict[int, tuple[int, int]] = {}
@@ -148,10 +167,12 @@ def verify(items: Items, words: list[str], ids: np.ndarray, seeds: np.ndarray, h
             if b - a < LEAST:
                 continue
             kind = np.where(own[a:b] == ids[a + shift : b + shift], 0, 2)
+            end = kind == 0
             for i in np.flatnonzero(kind):
-                if misspelt(items.words[item][a + i], items.canon(words[a + i + shift])):
-                    kind[i] = 1
-            if (w := stretch(kind)) and (item not in found or w[1] - w[0] > found[item][1] - found[item][0]):
+                own_word, word = items.words[item][a + i], items.canon(words[a + i + shift])
+                if misspelt(own_word, word):
+                    kind[i], end[i] = 1, slip(own_word, word)
+            if (w := stretch(kind, end)) and (item not in found or w[1] - w[0] > found[item][1] - found[item][0]):
                 found[item] = (w[0] + a + shift, w[1] + a + shift)
     return found
 
@@ -219,28 +240,28 @@ def _document(items: Items, codes: Codes, doc: int, text: str, clean: str, seeds
     return [(item, doc, n, int(kept[a]), int(kept[b - 1]) + 1) for item, (n, a, b) in best.items()]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(item_id, doc_id, n_words, start, stop)``: documents that contain an item's passage, fully or partly.
 
     A case is a stretch of at least :data:`LEAST` consecutive words of the item among the spoken words of the document,
     of which one in :data:`PER_ERROR` may be misspelt (an edit distance of 2, or a third of the longer word). The longest
-    is given, ``start`` and ``stop`` being its place in the stored text. Letter case, punctuation, line breaks, cue
+    is given, ``start`` and ``stop`` being its place in the stored text. It begins and ends with a right word or one
+    that is misspelt for certain (:func:`slip`). Of scripts without blanks each character is a word. Letter case, punctuation, line breaks, cue
     numbers and times, markup, bracketed sounds, speaker labels and look-alike characters do not matter.
 
     Any such stretch has :data:`GRAM` consecutive words right, so a broadcast hash set of the items' windows misses
     none; hits are verified word by word. Null ids or texts, and items under :data:`LEAST` words, give nothing. A row
-    given again counts once. The set is broadcast in blocks of ``block_words`` words; every document is scanned whole
+    given again counts once. The set is broadcast in blocks of some ``block_chars`` characters; every document is scanned whole
     for each block, and nothing of the corpus is shuffled.
     """
     src = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     known = items.select(F.col("item_id").cast("long"), "text").dropna().distinct()
-    sized = known.withColumn("n", F.size(F.split("text", r"\s+")))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-2 * int(total) // block_words)) if total > block_words else 1
+    total = int(known.agg(F.sum(F.length("text"))).first()[0] or 0)
+    blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     spark, out = docs.sparkSession, None
     src = widen(src, "doc_id")
     for b in range(blocks):
-        rows = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # bounded by block_words
+        rows = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # bounded by block_chars
         bc = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in rows]))
         hits = src.mapInArrow(_scanner(bc), "item_id long, doc_id long, n_words long, start long, stop long")
         out = hits if out is None else out.union(hits)

@@ -4,6 +4,7 @@ import random
 import sys
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,7 +107,8 @@ def brute_leaks(doc, item):
                 if a + shift < 0 or b + shift > len(w):
                     continue
                 kinds = [0 if x == y else (1 if leaks.misspelt(x, y) else 9) for x, y in zip(v[a:b], w[a + shift : b + shift])]
-                if 9 not in kinds and kinds[0] == kinds[-1] == 0 and 8 * sum(kinds) <= b - a:
+                ends = [x == y or leaks.slip(x, y) for x, y in ((v[a], w[a + shift]), (v[b - 1], w[b - 1 + shift]))]
+                if 9 not in kinds and all(ends) and 8 * sum(kinds) <= b - a:
                     best = max(best, b - a)
     return best
 
@@ -145,7 +147,7 @@ def test_leaks_through_subtitle_styles(spark):
     got = {r.doc_id: r for r in found.collect()}
     assert got.keys() == {1, 2, 7, 8, 10} and got[1].n_words == 14 and subtitle[got[1].start :].startswith("Of") and subtitle[: got[1].stop].endswith("doopra")
     assert leaks.find_leaks(docs, items.limit(0)).count() == 0 and leaks.find_leaks(docs.limit(0), items).count() == 0
-    blocks = leaks.find_leaks(docs, items.union(items.withColumn("item_id", F.col("item_id") + 10)), block_words=20)
+    blocks = leaks.find_leaks(docs, items.union(items.withColumn("item_id", F.col("item_id") + 10)), block_chars=150)
     assert {(r.item_id, r.doc_id) for r in blocks.collect()} == {(i, d) for i in (1, 11) for d in got}
     clean = {r.doc_id: r for r in leaks.remove_spans(docs.dropDuplicates(["doc_id"]), found).collect()}
     assert clean[10].text == "x " * 200_000 and clean[3].n_removed == 0 and clean[5].text is None
@@ -163,6 +165,27 @@ def test_edit_distance():
     assert leaks.misspelt("in", "m") and not leaks.misspelt("gadir", "por")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 0, 0, 0, 1, 2]), max_size=60), st.randoms())
+def test_stretch_is_the_longest(kinds, r):
+    end = [k == 0 or (k == 1 and r.random() < 0.5) for k in kinds]
+    n = len(kinds)
+    best = max((b - a for a in range(n) for b in range(a + 12, n + 1) if end[a] and end[b - 1] and 2 not in kinds[a:b] and 8 * sum(kinds[a:b]) <= b - a), default=0)
+    got = leaks.stretch(np.array(kinds, dtype=np.int64), np.array(end, dtype=bool))
+    assert (got[1] - got[0] if got else 0) == best
+
+
+def test_leaks_at_the_ends_and_without_blanks(spark):
+    """Twelve words of which the last is misspelt, eleven with a like neighbour, and text of a script without blanks."""
+    words = [w + "en" for w in WORDS[:30]]
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
+    items = spark.createDataFrame([(1, " ".join(words)), (2, han)], "item_id long, text string")
+    wrong = words[15][:-1] + "x"
+    docs = [(1, " ".join(["zzz", *words[4:15], wrong, "qqq"])), (2, " ".join(["zzz", *words[4:15], "so"])), (3, "，".join([han[:7], han[7:13]])), (4, han[:11])]
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert rows(got.select("item_id", "doc_id", "n_words")) == [(1, 1, 12), (2, 3, 13)]
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 50)), max_size=80), st.integers(50, 80))
