@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from hodograph.runtime import Scratch, read
+from hodograph.runtime import Scratch, read, unbroadcast
 
 
 def _least(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, Observation]:
@@ -25,8 +25,8 @@ def _least(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, Observation]:
 def _round(e: DataFrame, least: DataFrame) -> DataFrame:
     """Each vertex sends its cluster to the cluster's least member, and that member to the others."""
     # An edge (lo, hi) is seen from both ends: hi knows lo and itself, lo knows hi and itself.
-    at_hi = e.join(least.select(F.col("v").alias("hi"), F.col("m").alias("mh")), "hi")
-    both = at_hi.join(least.select(F.col("v").alias("lo"), F.col("m").alias("ml")), "lo")
+    at_hi = e.join(unbroadcast(least.select(F.col("v").alias("hi"), F.col("m").alias("mh"))), "hi")
+    both = at_hi.join(unbroadcast(least.select(F.col("v").alias("lo"), F.col("m").alias("ml"))), "lo")
     pairs = F.array(*(F.struct(F.col(m).alias("lo"), F.col(v).alias("hi")) for m in ("mh", "ml") for v in ("hi", "lo")))
     return both.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.lo", "p.hi").filter("lo < hi").distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hodograph.llm.cells import dictionary, unit
-from hodograph.runtime import BROADCAST_LIMIT, Scratch, TooLarge, read, widen
+from hodograph.runtime import BROADCAST_LIMIT, Scratch, TooLarge, read, unbroadcast, widen
 
 #: Vectors of one block of a list; a longer list is cut into blocks.
 BLOCK = 16384
@@ -23,14 +24,14 @@ WORK = 1 << 26
 class Params:
     """Everything that trades recall for time.
 
-    ``per_list``: vectors that a list has on average. ``max_lists``: bound of the lists. ``train_per_list``: bound of
+    ``per_list``: vectors that a list has on average, until there are 4,096 lists or four times the root of the vectors;
+    from there on lists and what they hold both grow with the root. ``train_per_list``: bound of
     the training sample, per list. ``sub``: product-quantiser parts. ``probes``: lists searched per vector. ``margin``:
     a vector is reranked if its estimated similarity is at least the wanted one less this. ``depth``: where no similarity
     is wanted, the ``depth * k + 32`` best estimates of a block are reranked at most.
     """
 
     per_list: int = 400
-    max_lists: int = 4096
     train_per_list: int = 16
     sub: int = 16
     probes: int = 4
@@ -89,12 +90,25 @@ def _kmeans(x: np.ndarray, k: int, iterations: int, rng, spherical: bool) -> np.
     return c
 
 
+def lists_for(n: int, p: Params) -> int:
+    return max(1, 2 ** round(math.log2(max(min(n / p.per_list, max(4096.0, 4 * math.sqrt(n))), 1))))
+
+
+def _coarse(x: np.ndarray, k: int, iterations: int, rng) -> np.ndarray:
+    """``k`` list centroids; many of them in two levels, each cell of the first being divided by its share of the sample."""
+    if k <= 1024:
+        return _kmeans(x, k, iterations, rng, True)
+    top = _kmeans(x, int(math.sqrt(k)), iterations, rng, True)
+    own = np.concatenate([np.argmax(x[i : i + 4096] @ top.T, axis=1) for i in range(0, len(x), 4096)])
+    cells = [x[own == i] for i in range(len(top))]
+    return np.vstack([_kmeans(c, min(len(c), max(1, round(k * len(c) / len(x)))), iterations, rng, True) for c in cells if len(c)])
+
+
 def train(sample: np.ndarray, n: int, p: Params) -> Index:
     """Fit lists and codebooks on a bounded sample of unit vectors; ``n`` is the number of vectors to index."""
     rng = np.random.default_rng(p.seed)
     dim = sample.shape[1]
-    lists = int(np.clip(2 ** round(np.log2(max(n, 1) / p.per_list + 1)), 1, p.max_lists))
-    coarse = _kmeans(sample, lists, p.iterations, rng, True)
+    coarse = _coarse(sample, lists_for(n, p), p.iterations, rng)
     sub = p.sub if dim % p.sub == 0 else 1
     res = sample[:65536] - coarse[np.concatenate([np.argmax(sample[i : i + 4096] @ coarse.T, axis=1) for i in range(0, min(len(sample), 65536), 4096)])]
     width = dim // sub
@@ -248,16 +262,16 @@ def _searcher(bc, dim: int, min_cos: float | None, p: Params):
 
 # --- the operator ---------------------------------------------------------------------------------------------------
 def build_index(vectors: DataFrame, dim: int, p: Params) -> Index:
-    """Fit on at most ``max_lists * train_per_list`` vectors, those of the least hashed ids, so evenly over all."""
+    """Fit on ``train_per_list`` vectors a list (4,096 at least), those of the least hashed ids, so evenly over all."""
     n = vectors.count()
-    lists = int(np.clip(2 ** round(np.log2(max(n, 1) / p.per_list + 1)), 1, p.max_lists))
+    lists = lists_for(n, p)
+    if (2 * lists + 256) * dim * 4 > BROADCAST_LIMIT:  # two levels may come out at somewhat more lists
+        raise TooLarge(f"index of {lists} lists of {dim} dimensions")
     want = max(4096, lists * p.train_per_list)
     share = min(1.0, 1.2 * want / max(n, 1))
-    hashed = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = hashed.select("vec").limit(2 * want).toArrow().column("vec")
+    hashed = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = hashed.orderBy(F.xxhash64("id"), "id").limit(want).select("vec").toArrow().column("vec")
     sample = np.frombuffer(b"".join(c for ch in rows.chunks for c in ch.to_pylist()), dtype=np.float32).reshape(-1, dim)
-    if (p.max_lists + 256) * dim * 4 > BROADCAST_LIMIT:
-        raise TooLarge(f"index of {p.max_lists} lists of {dim} dimensions")
     return train(sample, n, p) if len(sample) else Index(np.zeros((1, dim), np.float32), np.zeros((1, 256, dim), np.float32))
 
 
@@ -267,7 +281,7 @@ def _scan(routed: DataFrame, bc, dim: int, min_cos: float | None, p: Params, blo
     sizes = routed.groupBy("list").agg(F.sum(F.expr("int(side = 0)")).alias("ni"), F.sum(F.expr("int(side = 1)")).alias("nq"))
     sizes = sizes.filter("ni > 0 AND nq > 0").withColumn("bi", F.ceil(F.col("ni") / block).cast("int"))
     sizes = sizes.withColumn("bq", F.ceil(F.col("nq") * F.col("ni") / F.col("bi") / work).cast("int")).select("list", "bi", "bq")
-    # One row per list, at most max_lists rows.
+    # One row per list, whose centroids were broadcast before.
     split = routed.join(F.broadcast(sizes), "list")
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("bi")).otherwise(F.col("bq"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("bq")).otherwise(F.col("bi")) - 1))
@@ -299,7 +313,7 @@ def _whole_top(one: DataFrame, bc, dim: int, scratch: Scratch, p: Params, block:
             continue
         # The k-th best so far, if there are as many.
         kth = found.withColumn("r", F.row_number().over(w)).filter("r = k").select("id", F.col("cos").alias("floor"))
-        left = one.filter("k > 0").select("id", "k", "vec").join(kth, "id", "left")
+        left = one.filter("k > 0").select("id", "k", "vec").join(unbroadcast(kth), "id", "left")
         if short and (left := scratch.cut(left.filter("floor IS NULL"), "short")).isEmpty():
             break
         more = left.mapInArrow(_router(bc, dim, last, first), _ROUTED + ", floor double")
@@ -338,13 +352,13 @@ def nearest_vectors(vectors: DataFrame, dim: int, min_cos: float | None, scratch
     # From distinct vectors to keys. A copy has cosine 1 with its copies; only the least k_max + 1 keys can matter.
     some = one.filter("n > 1").select("h", "vec", "id")
     rank = Window.partitionBy("id").orderBy("key")
-    copies = keys.join(some, ["h", "vec"]).select("id", "key", "k")
+    copies = keys.join(unbroadcast(some), ["h", "vec"]).select("id", "key", "k")
     least = copies.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.lit(k_max + 1)).select("id", "key")
     asks = copies.union(one.filter("n = 1").select("id", F.col("id").alias("key"), "k")).filter("k > 0")
-    far = top.join(least.select(F.col("id").alias("other"), F.col("key").alias("o")), "other", "left")
+    far = top.join(unbroadcast(least.select(F.col("id").alias("other"), F.col("key").alias("o"))), "other", "left")
     far = far.select("id", F.coalesce("o", "other").alias("other"), "cos")
     near = least.select("id", F.col("key").alias("other"), F.lit(1.0).alias("cos"))
-    full = asks.join(far.union(near), "id").filter("key <> other").select("key", "k", "other", "cos")
+    full = asks.join(unbroadcast(far.union(near)), "id").filter("key <> other").select("key", "k", "other", "cos")
     v = Window.partitionBy("key").orderBy(F.col("cos").desc(), F.col("other"))
     best = full.withColumn("r", F.row_number().over(v)).filter(F.col("r") <= k_max).filter("r <= k")
     return (best if min_cos is None else best.filter(F.col("cos") >= min_cos)).select("key", "other", "cos")
