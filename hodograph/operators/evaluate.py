@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hodograph.functions.numeric import known
+from hodograph.runtime import Scratch
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -13,15 +14,33 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(known(F.col(value))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranged(c: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The counts as a written table in ranges of (keys, value), with the number of the range as ``pid``.
+
+    Equal values of a key are in one range; a key that holds most values is many ranges.
+    """
+    return Scratch(c.sparkSession, "ranges").cut(c.repartitionByRange(*keys, value).withColumn("pid", F.spark_partition_id()), "counts")
+
+
+def _upto(c: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``n`` over the rows of the same keys with at most this value, given :func:`_ranged` counts.
+
+    Each range sums by itself; what lies ahead of it comes from the sums of ranges, which are ranges times keys rows.
+    """
+    inside = Window.partitionBy("pid", *keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = c.groupBy("pid", *keys).agg(F.sum("n").alias("t")).withColumn("ahead", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    return c.withColumn(name, F.sum("n").over(inside)).join(sums.drop("t"), ["pid", *keys]).withColumn(name, F.col(name) + F.col("ahead")).drop("ahead")
+
+
 def auc_one_vs_rest(scores: DataFrame, level: str, category: str, score: str) -> DataFrame:
     """``(level, category, auc)``: chance that a row of the category scores at least as high as one of the rest.
 
     Ties count as full wins. 0.5 if either side is empty. Unknown scores do not take part.
     """
-    c = value_counts(scores, [level, category], score)
-    up = Window.partitionBy(level).orderBy(score).rangeBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy(level, category).orderBy(score).rangeBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("below", F.sum("n").over(up) - F.sum("n").over(own))
+    c = _ranged(value_counts(scores, [level, category], score), [level], score)
+    c = _upto(_upto(c, [level], score, "all_upto"), [level, category], score, "own_upto")
+    c = c.withColumn("below", F.col("all_upto") - F.col("own_upto"))
     total = c.groupBy(level).agg(F.sum("n").alias("all"))
     g = c.groupBy(level, category).agg(F.sum(F.col("n") * F.col("below")).alias("wins"), F.sum("n").alias("p")).join(total, level)
     q = F.col("all") - F.col("p")
@@ -29,15 +48,17 @@ def auc_one_vs_rest(scores: DataFrame, level: str, category: str, score: str) ->
 
 
 def auc_pairwise(scores: DataFrame, level: str, category: str, score: str) -> DataFrame:
-    """``(level, a, b, auc)`` for categories ``a < b``: the better of both directions; ties count as full wins."""
-    c = value_counts(scores, [level, category], score)
-    # For each category the rows at or below every value that any category has: values x categories of counts.
-    grid = c.select(level, score).distinct().join(c.select(level, category).distinct(), level)
-    own = Window.partitionBy(level, category).orderBy(score).rangeBetween(Window.unboundedPreceding, 0)
-    full = grid.join(c, [level, category, score], "left").fillna(0, ["n"]).withColumn("below", F.sum("n").over(own))
-    x = full.filter("n > 0").select(level, score, F.col(category).alias("x"), "n")
-    y = full.select(level, score, F.col(category).alias("y"), "below")
-    wins = x.join(y, [level, score]).filter("x <> y").groupBy(level, "x", "y").agg(F.sum(F.col("n") * F.col("below")).alias("wins"))
+    """``(level, a, b, auc)`` for categories ``a < b``: the better of both directions; ties count as full wins.
+
+    Needs for each value how many rows of each category are at or below it, so distinct values times categories rows,
+    which are made range by range.
+    """
+    c = _ranged(value_counts(scores, [level, category], score), [level], score)
+    grid = c.select("pid", level, score).distinct().join(c.select(level, category).distinct(), level)
+    full = _upto(grid.join(c, ["pid", level, category, score], "left").fillna(0, ["n"]), [level, category], score, "below")
+    x = full.filter("n > 0").select("pid", level, score, F.col(category).alias("x"), "n")
+    y = full.select("pid", level, score, F.col(category).alias("y"), "below")
+    wins = x.join(y, ["pid", level, score]).filter("x <> y").groupBy(level, "x", "y").agg(F.sum(F.col("n") * F.col("below")).alias("wins"))
     size = c.groupBy(level, category).agg(F.sum("n").alias("n"))
     sx, sy = size.select(level, F.col(category).alias("x"), F.col("n").alias("nx")), size.select(level, F.col(category).alias("y"), F.col("n").alias("ny"))
     auc = wins.join(sx, [level, "x"]).join(sy, [level, "y"]).withColumn("auc", F.col("wins") / (F.col("nx") * F.col("ny")))
@@ -64,9 +85,8 @@ def threshold_sweep(scores: DataFrame, label: str, score: str, steps: int = 100)
 
 def truncating_quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, str]) -> DataFrame:
     """The value at an index of each group's sorted values. ``picks``: name to an expression of ``total`` for the index."""
-    c = value_counts(df, keys, value)
-    w = Window.partitionBy(*keys).orderBy(value)
-    c = c.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    c = _upto(_ranged(value_counts(df, keys, value), keys, value), keys, value, "upto")
+    c = c.join(c.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
     return c.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > F.expr(e), F.col(value))).alias(name) for name, e in picks.items()))
 
 
