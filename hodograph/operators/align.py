@@ -164,3 +164,13 @@ def align_pairs(df: DataFrame, keys: list[str], a: str, b: str, cfg: AlignConfig
     nested = "array<array<double>>"
     src = df.select(*keys, F.col(a).cast(nested).alias("_a"), F.col(b).cast(nested).alias("_b"), *([F.col(profile).alias("_p")] if profile else []))
     return src.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", " + RESULT)
+
+
+def align_gated(df: DataFrame, keys: list[str], a: str, b: str, verdict: str, cfg: AlignConfig) -> DataFrame:
+    """``keys, verdict, error, score``: pairs of unequal dimension have the error ``dimension``, whatever the gate says of them;
+    of the others those that the gate blocks have neither error nor score, and only the rest is aligned."""
+    first = lambda c: F.size(F.col(c).cast("array<array<double>>")[0])
+    fits = F.coalesce(first(a) == first(b), F.lit(True))  # an empty side is the aligner's to report
+    done = align_pairs(df.filter(fits & (F.col(verdict) != "block")), keys, a, b, cfg).select(*keys, F.col("error").alias("_e"), "score")
+    both = df.select(*keys, verdict, (~fits).alias("_unfit")).join(done, keys, "left")
+    return both.select(*keys, verdict, F.when(F.col("_unfit"), "dimension").otherwise(F.col("_e")).alias("error"), "score")

@@ -44,6 +44,29 @@ def centroid_rows(table: DataFrame) -> DataFrame:
     return table.select(F.posexplode("centroidi").alias("cell", "vec"))
 
 
+def dictionary_coherent(k, dim, centroids):
+    """Column: a positive number of cells and of dimensions, and centroids that have just these."""
+    return F.coalesce((k > 0) & (dim > 0) & (F.size(centroids) == k) & F.forall(centroids, lambda v: F.coalesce(F.size(v) == dim, F.lit(False))), F.lit(False))
+
+
+def walk_coherent(cells, pos, conf):
+    """Column: a step at least, and arrays of one length."""
+    return F.coalesce((F.size(cells) > 0) & (F.size(cells) == F.size(pos)) & (F.size(cells) == F.size(conf)), F.lit(False))
+
+
+def projection_errors(walks: DataFrame, key: str, table: DataFrame, dim: str | None = None) -> DataFrame:
+    """``walks`` with ``error``, null where a walk can be projected: ``dictionary`` or ``walk`` for one that is not coherent,
+    ``dimension`` where the walk's own (the column ``dim``, if there is one) is not the dictionary's, ``cell`` for a null cell
+    or one that the dictionary lacks. A dictionary table without a row counts as not coherent.
+    """
+    d = table.agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("dk"), F.first("dim").alias("dd"), F.bool_and(dictionary_coherent(F.col("k"), F.col("dim"), F.col("centroidi"))).alias("fine"))
+    both = walks.crossJoin(F.broadcast(d))  # one row
+    other = (F.col(dim) != F.col("dd")) if dim else F.lit(False)
+    lacks = F.exists("celle", lambda c: c.isNull() | (c < 0) | (c >= F.col("dk")))
+    error = F.when(~F.coalesce("fine", F.lit(False)), "dictionary").when(~walk_coherent(F.col("celle"), F.col("pos"), F.col("conf")), "walk")
+    return both.withColumn("error", error.when(other, "dimension").when(lacks, "cell")).drop("n", "dk", "dd", "fine")
+
+
 # --- assignment -----------------------------------------------------------------------------------------------------
 def assign_cells(matrices: DataFrame, key: str, matrix: str, centroids: np.ndarray) -> DataFrame:
     """``(key, pos, cell, conf)``: the centroid of greatest cosine of every vector, the least cell among equals.

@@ -40,15 +40,19 @@ def node_states(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(s, "node", "left").fillna(0.0, STATE)
 
 
-def frame_graph(matrices: DataFrame, key: str, matrix: str, near: float = 0.7, reach: int = 2, stride: int = 64) -> DataFrame:
+def frame_graph(matrices: DataFrame, key: str, matrix: str, near: float = 0.7, reach: int = 2, stride: int = 64, twice: bool = False) -> DataFrame:
     """``(src, dst, score)``: frames of one sequence linked to the next ``reach`` and to all of cosine ``near`` or more.
 
-    A frame's id is ``key * stride + pos``. Each pair occurs once, with ``src < dst``.
+    A frame's id is ``key * stride + pos``. Each pair occurs once, with ``src < dst``; if ``twice``, a near one that is also
+    alike occurs once for either reason.
     """
     f = matrices.select(key, F.posexplode(matrix).alias("i", "x")).withColumn("nx", norm(F.col("x")))
     g = f.select(key, F.col("i").alias("j"), F.col("x").alias("y"), F.col("nx").alias("ny"))
     p = f.join(g, key).filter("i < j").withColumn("score", cosine(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
-    p = p.filter((F.col("j") - F.col("i") <= reach) | (F.col("score") >= near))
+    close, alike = F.col("j") - F.col("i") <= reach, F.col("score") >= near
+    p = p.filter(close | alike)
+    if twice:
+        p = p.withColumn("why", F.explode(F.when(close & alike, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return p.select((F.col(key) * stride + F.col("i")).alias("src"), (F.col(key) * stride + F.col("j")).alias("dst"), "score")
 
 

@@ -80,7 +80,8 @@ def _local(columns: list[str], signs: list[int], limit: int, strict: bool):
 def local_band(df: DataFrame, columns: list[str], signs: list[int], limit: int, strict: bool, scratch: Scratch) -> tuple[DataFrame, int]:
     """``(rows, number)``: rows without those beaten by ``limit`` others that they met in a partition, as a written table.
 
-    Survivors meet again in random partitions of at most :data:`HELD` rows until that drops less than a fifth of them.
+    Survivors meet again in random partitions of at most :data:`HELD` rows until one holds them all, or, with more than that
+    left, a round drops less than a fifth.
     """
     step = _local(columns, signs, limit, strict)
     now, n, parts = widen(df), None, 2
@@ -88,7 +89,7 @@ def local_band(df: DataFrame, columns: list[str], signs: list[int], limit: int,
         seen = Observation()
         met = scratch.cut(now.mapInArrow(step, df.schema).observe(seen, F.count(F.lit(1)).alias("n")), "band")
         before, n = n, seen.get["n"] or 0
-        if parts == 1 or n == 0 or (before is not None and n > 0.8 * before):
+        if parts == 1 or n == 0 or (before is not None and n > max(HELD, 0.8 * before)):
             return met, n
         parts = -(-n // HELD)
         now = met.repartition(parts)

@@ -71,16 +71,17 @@ def e10_spearman(spark, sf):
 
 
 def e11_grid(spark, sf):
-    """Mean action over the proximity graph for each setting of the grid, in one pass over its edges."""
+    """Mean action and amplitude over the proximity graph for each of the 54 settings, in one pass over its edges."""
     nodes, e = q_motion._proximity(spark, sf)
     state = q_motion.K.STATE
     s = q_motion.K.node_states(nodes, e)
     both = q_graph.G.adjacency(e).join(s, "node").join(s.select(F.col("node").alias("other"), *(F.col(c).alias("o" + c) for c in state)), "other")
-    for name, values in (("beta", (0.5, 1.0, 2.0)), ("gamma", (0.5, 1.0, 2.0)), ("c", (1.0, 100.0))):
+    for name, values in (("beta", (0.5, 1.0, 2.0)), ("gamma", (0.5, 1.0, 2.0)), ("c", (10.0, 100.0)), ("kappa", (2.0, 5.0, 10.0))):
         both = both.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     act = S.inertial_action([F.col(c) for c in state], [F.col("o" + c) for c in state], F.col("beta"), F.col("gamma"), F.col("c"))
-    each = both.select("beta", "gamma", "c", act.alias("action")).filter(F.col("action") < float("inf"))
-    return each.groupBy("beta", "gamma", "c").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("action"), 7).alias("mean_action"))
+    each = both.select("beta", "gamma", "c", "kappa", act.alias("action")).filter(F.col("action") < float("inf"))
+    amp = F.exp(-F.col("action") / F.col("kappa"))
+    return each.groupBy("beta", "gamma", "c", "kappa").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("action"), 7).alias("mean_action"), F.round(F.avg(amp), 7).alias("mean_amplitude"))
 
 
 def e12_quantiles(spark, sf):
@@ -174,7 +175,7 @@ def _grid_sql() -> str:
     act = lambda b, g, c: (
         f"CASE WHEN abs(t.v - s.v) < {c} THEN {c}*{c}*((t.v-s.v)/{c})*((t.v-s.v)/{c})/(1+sqrt(1-((t.v-s.v)/{c})*((t.v-s.v)/{c})))+{b}*(t.a-s.a)*(t.a-s.a)+{g}*abs(t.k-s.k) END"
     )
-    return f"WITH {PROX}, g AS (SELECT b, g, c FROM (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS b) CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS g) CROSS JOIN (SELECT unnest([1.0, 100.0])::DOUBLE AS c)), x AS (SELECT b AS beta, g AS gamma, c, {act('b', 'g', 'c')} AS action FROM g CROSS JOIN adj JOIN sta s ON s.node = adj.node JOIN sta t ON t.node = adj.other) SELECT beta, gamma, c, count(action) AS n, round(avg(action), 7) AS mean_action FROM x GROUP BY ALL"
+    return f"WITH {PROX}, g AS (SELECT b, g, c, kappa FROM (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS b) CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS g) CROSS JOIN (SELECT unnest([10.0, 100.0])::DOUBLE AS c) CROSS JOIN (SELECT unnest([2.0, 5.0, 10.0])::DOUBLE AS kappa)), x AS (SELECT b AS beta, g AS gamma, c, kappa, {act('b', 'g', 'c')} AS action FROM g CROSS JOIN adj JOIN sta s ON s.node = adj.node JOIN sta t ON t.node = adj.other) SELECT beta, gamma, c, kappa, count(action) AS n, round(avg(action), 7) AS mean_action, round(avg(exp(-action / kappa)), 7) AS mean_amplitude FROM x GROUP BY ALL"
 
 
 SQL = {

@@ -33,9 +33,9 @@ def q5_from_tokens(spark, sf):
 
 
 def _facts(spark, sf):
-    """Even results with their successors as pairs."""
+    """Every result with its successor as a pair; a sound result takes part in as many pairs as it has neighbours."""
     size = lambda c: (F.size(c) * 4).alias("bits_" + c)
-    p = _pairs(spark, sf).filter("result_id % 2 = 0").select((F.col("result_id") / 2).cast("long").alias("pair_id"), "a", "b", size("a"), size("b"))
+    p = _pairs(spark, sf).select(F.col("result_id").alias("pair_id"), "a", "b", size("a"), size("b"))
     return W.sequence_facts(p)
 
 
@@ -84,7 +84,7 @@ def e21_prune(spark, sf):
 QUERIES = {f.__name__: f for f in (i1_trajectories, q5_from_tokens, flow_facts, flow_graph, f13_probes, e21_prune)}
 
 _FACTS = f"""{MATS},
-p AS (SELECT result_id // 2 AS pair_id, a, b FROM pr WHERE result_id % 2 = 0),
+p AS (SELECT result_id AS pair_id, a, b FROM pr),
 t AS (SELECT pair_id, 0 AS side, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM p UNION ALL SELECT pair_id, 1, unnest(b), generate_subscripts(b, 1) FROM p),
 sd AS (SELECT pair_id, side, avg(m) AS d FROM (SELECT x.pair_id, x.side, x.i, max(list_dot_product(x.v, y.v)) AS m FROM t x JOIN t y
         ON x.pair_id = y.pair_id AND x.side = y.side AND x.i <> y.i GROUP BY ALL) GROUP BY ALL),

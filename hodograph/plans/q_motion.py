@@ -15,7 +15,7 @@ from hodograph.operators import walks as W
 from hodograph.plans import q_graph
 from hodograph.plans.config import AlignConfig, SolverConfig
 from hodograph.plans.q_graph import FACTS, _graph, _near
-from hodograph.plans.q_walks import MATS, sound_matrices
+from hodograph.plans.q_walks import _BEST, MATS, sound_matrices
 from hodograph.runtime import Scratch, read, widen
 
 
@@ -56,6 +56,12 @@ def b4_weighted_points(spark, sf):
     return _points(spark, sf, Z.WEIGHTED)
 
 
+def b5_checks(spark, sf):
+    """Why a walk gives no points: the dictionary, the walk, another dimension, or a cell that there is not."""
+    d = read(spark, sf, "cell_dictionary")
+    return Z.projection_errors(_facts(spark, sf), "fact_id", d).select("fact_id", "error")
+
+
 def _assigned(spark, sf):
     return Z.assign_cells(widen(sound_matrices(spark, sf), "result_id"), "result_id", "multivector", _centroids(spark, sf))
 
@@ -132,15 +138,20 @@ def d7_default_guard(spark, sf):
 
 
 def e5_levels(spark, sf):
-    """Pairs kept and mean score at each level of the guard: shared bits 0, 2, 4, 5, then Jaccard 0, .5, .65, .8.
+    """Pairs kept and mean score at each level: the late interaction of the pair alone (L1), then alignments behind the guard
+    with shared bits 0, 2, 4, 5 and Jaccard 0, .5, .65, .8.
 
     The guard only drops pairs, so each pair is aligned once for all levels."""
+    from hodograph.operators.vectors import score_matrices, summed
+
     g = _guided(spark, sf)
     r = A.align_pairs(g, ["result_id", "overlap", "jaccard"], "a", "b", AlignConfig(window=10, w_min=1, w_max=10), "profile")
     levels = [(f"L{i}", F.col("overlap") >= t) for i, t in zip(range(2, 6), (0, 2, 4, 5), strict=True)]
     levels += [(f"L{i}", F.col("jaccard") >= F.lit(t).cast("float")) for i, t in zip(range(6, 10), (0.0, 0.5, 0.65, 0.8), strict=True)]
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), c.alias("kept")) for n, c in levels)))
     x = r.select("score", each.alias("l")).select("score", "l.level", "l.kept").filter("kept")
+    first = score_matrices(g, ["result_id"], "a", "b", {"score": summed})
+    x = x.select("level", "score").union(first.select(F.lit("L1").alias("level"), "score"))
     return x.groupBy("level").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
@@ -152,8 +163,8 @@ def i4_gated(spark, sf):
     p = _pairs(spark, sf).withColumn("shared", F.coalesce(F.size(F.array_intersect("ta", "tb")), F.lit(0)) / 100.0)
     best = score_matrices(p, ["result_id"], "a", "b", {"dense": lambda a, b: float((Z.unit(a) @ Z.unit(b).T).max())})
     p = p.join(best, "result_id").withColumn("verdict", verdict(probe(F.col("dense"), F.col("shared")), F.lit(0), F.lit(1), 0.4))
-    passed = A.align_pairs(p.filter("verdict <> 'block'"), ["result_id"], "a", "b", AlignConfig(window=10)).select("result_id", "score")
-    return p.select("result_id", "verdict").join(passed, "result_id", "left").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_aligned"))
+    g = A.align_gated(p, ["result_id"], "a", "b", "verdict", AlignConfig(window=10))
+    return g.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_aligned"), F.count("error").alias("n_errors"))
 
 
 # --- kinematics -----------------------------------------------------------------------------------------------------
@@ -174,6 +185,12 @@ def f14_frame_graph(spark, sf):
     return g.select("src", "dst", shown(F.col("score"), 6).alias("score"))
 
 
+def f14_directed(spark, sf):
+    """The directed twin: a step to each of the next two frames, and one more to every later frame that is like it."""
+    g = K.frame_graph(sound_matrices(spark, sf), "result_id", "multivector", twice=True)
+    return g.select("src", "dst", shown(F.col("score"), 6).alias("score"))
+
+
 def f15_min_step(spark, sf):
     """Least positive action over the frame graph, both ways."""
     s = _states(spark, sf).select((F.col("result_id") * 64 + F.col("pos")).alias("node"), *K.STATE)
@@ -251,8 +268,8 @@ def f16_throughput(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        z1_dictionary, z2_ruzicka, b3_centroid_points, b4_weighted_points, y3_zones, y4_assign, y6_trajectories, y7_report, d2_align, d4_kinematics,
-        d7_default_guard, d8_guided, e5_levels, i4_gated, k3_states, f6_levels, f7_beam, f11_node_states, f12_last_states, f14_frame_graph, f15_min_step,
+        z1_dictionary, z2_ruzicka, b3_centroid_points, b4_weighted_points, b5_checks, y3_zones, y4_assign, y6_trajectories, y7_report, d2_align, d4_kinematics,
+        d7_default_guard, d8_guided, e5_levels, i4_gated, k3_states, f6_levels, f7_beam, f11_node_states, f12_last_states, f14_frame_graph, f14_directed, f15_min_step,
         f16_throughput, f17_exhaustive, f18_deviation, e19_actions,
     )
 }
@@ -375,6 +392,8 @@ SQL = {
         bad AS (SELECT DISTINCT fact_id FROM win WHERE t IS NULL OR isnan(t) OR NOT t > 0 UNION SELECT fact_id FROM st WHERE w IS NULL),
         pt AS (SELECT fact_id, step, sum(s / t * s / t) AS l, sum(s / t) FILTER (WHERE d = 1) AS f FROM win WHERE fact_id NOT IN (SELECT fact_id FROM bad) GROUP BY ALL)
         SELECT ok.fact_id, step::INT AS step, round(f, 7) + 0.0 AS first, round(sqrt(l), 7) AS length FROM ok LEFT JOIN pt USING (fact_id)""",
+    "b5_checks": f"""WITH {FACT} SELECT fact_id, CASE WHEN celle IS NULL OR pos IS NULL OR conf IS NULL OR len(celle) = 0 OR len(celle) <> len(pos) OR len(celle) <> len(conf) THEN 'walk'
+          WHEN list_bool_or(list_transform(celle, lambda c: c IS NULL OR c < 0 OR c >= 256)) THEN 'cell' END AS error FROM fact""",
     "y4_assign": f"WITH {ASSIGN} SELECT result_id, pos, cell, round(conf, 7) + 0.0 AS conf FROM asg",
     "y6_trajectories": f"WITH {ASSIGN} SELECT result_id, string_agg(cell::VARCHAR, ' ' ORDER BY pos) AS cells, count(*)::INT AS n_steps FROM asg GROUP BY result_id",
     "y7_report": f"""WITH {ASSIGN}, p AS (SELECT count(DISTINCT cell) AS c FROM asg GROUP BY result_id)
@@ -384,7 +403,9 @@ SQL = {
     "d7_default_guard": _guided_sql("SELECT result_id, error, round(score, 7) AS score FROM fin WHERE jaccard >= 0.65::FLOAT"),
     "d8_guided": _guided_sql("SELECT result_id, overlap, error, round(score, 7) AS score, path_len FROM fin WHERE overlap >= 2"),
     "e5_levels": _guided_sql("""SELECT level, count(*) AS n_kept, round(avg(score), 6) AS mean_score FROM fin JOIN (VALUES ('L2', 0, NULL), ('L3', 2, NULL), ('L4', 4, NULL), ('L5', 5, NULL),
-        ('L6', NULL, 0.0), ('L7', NULL, 0.5), ('L8', NULL, 0.65), ('L9', NULL, 0.8)) t(level, bits, jac) ON overlap >= bits OR jaccard >= jac::FLOAT GROUP BY level"""),
+        ('L6', NULL, 0.0), ('L7', NULL, 0.5), ('L8', NULL, 0.65), ('L9', NULL, 0.8)) t(level, bits, jac) ON overlap >= bits OR jaccard >= jac::FLOAT GROUP BY level
+        UNION ALL SELECT 'L1', count(*), round(avg((list_sum(""" + _BEST.format("a", "b", "list_dot_product") + ") + list_sum(" + _BEST.format("b", "a", "list_dot_product")
+        + ")) / 2), 6) FROM pr JOIN ov USING (result_id)"),
     "e19_actions": f"""WITH {EDGES_FULL}, n AS (SELECT src AS node FROM edges WHERE src IS NOT NULL UNION SELECT dst FROM edges WHERE dst IS NOT NULL),
         en AS (SELECT unnest([src, dst]) AS node, score, coalesce(nullif(colbert, '-inf'::DOUBLE), 0) AS c, (coalesce(nullif(sparse, '-inf'::DOUBLE), 0) + coalesce(nullif(relational, '-inf'::DOUBLE), 0)) / 2 AS r FROM ef),
         s0 AS (SELECT node, avg(score) AS v, avg(c) AS a, avg(r) AS k FROM en GROUP BY node), ad AS (SELECT src AS x, dst AS y FROM ef UNION ALL SELECT dst, src FROM ef),
@@ -394,6 +415,9 @@ SQL = {
     "k3_states": f"WITH {KIN} SELECT result_id, pos, round(v, 6) AS v, round(a, 6) + 0.0 AS a, round(k, 6) + 0.0 AS k FROM ks",
     "f12_last_states": f"WITH {KIN} SELECT result_id, round(v, 6) AS v, round(a, 6) + 0.0 AS a, round(k, 6) + 0.0 AS k FROM ks QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY pos DESC) = 1",
     "f14_frame_graph": f"WITH {KIN} SELECT src, dst, round(score, 6) + 0.0 AS score FROM fg",
+    "f14_directed": f"""WITH {KIN}, later AS (SELECT a.result_id * 64 + a.pos AS src, a.result_id * 64 + b.pos AS dst, b.pos - a.pos AS gap, list_cosine_similarity(a.x, b.x) AS score
+          FROM fr a JOIN fr b ON a.result_id = b.result_id AND a.pos < b.pos)
+        SELECT src, dst, round(score, 6) + 0.0 AS score FROM later WHERE gap <= 2 UNION ALL SELECT src, dst, round(score, 6) + 0.0 FROM later WHERE score >= 0.7""",
     "f15_min_step": f"""WITH {KIN}, n AS (SELECT result_id * 64 + pos AS node, v, a, k FROM ks), e AS (SELECT src, dst FROM fg UNION ALL SELECT dst, src FROM fg),
         x AS (SELECT {_ACT.format(t="t.", s="s.")} AS action FROM e JOIN n s ON s.node = src JOIN n t ON t.node = dst)
         SELECT round(min(action) FILTER (WHERE action > 1e-9 AND isfinite(action)), 8) AS min_step FROM x""",

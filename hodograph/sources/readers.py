@@ -24,19 +24,19 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DICTIONARY).json(path, multiLine=True).withColumnRenamed("K", "k")
 
 
-def _map_file(spark: SparkSession, path: str, value: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
+def _map_file(spark: SparkSession, path: str, value: str, lines: bool = False) -> DataFrame:
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias("key", "v")).select("key", "v.*")
 
 
-def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """JSON maps from fact to ``celle, pos, conf``."""
-    return _map_file(spark, path, TRAJECTORY).withColumnRenamed("key", "fact_id")
+def read_trajectories(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON maps from fact to ``celle, pos, conf``: one in a file, or one on each line, which any number of tasks can read."""
+    return _map_file(spark, path, TRAJECTORY, lines).withColumnRenamed("key", "fact_id")
 
 
-def read_pair_index(spark: SparkSession, path: str) -> DataFrame:
-    """JSON maps from pair to its category and two texts."""
-    return _map_file(spark, path, PAIR).withColumnRenamed("key", "pair_id")
+def read_pair_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON maps from pair to its category and two texts, one in a file or one on each line."""
+    return _map_file(spark, path, PAIR, lines).withColumnRenamed("key", "pair_id")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -18,11 +18,16 @@ def write_dictionary(table: DataFrame, path: str) -> None:
 
 
 def write_trajectories(trajectories: DataFrame, path: str) -> None:
-    """JSON lines, each a map of one fact, which :func:`~hodograph.sources.readers.read_trajectories` reads file by file
-    and a plain JSON reader line by line."""
+    """JSON lines, each a map of one fact, for :func:`~hodograph.sources.readers.read_trajectories` with ``lines``."""
     body = F.map_from_arrays(F.array("fact_id"), F.array(F.struct("celle", "pos", "conf")))
     trajectories.select(F.to_json(body).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_pair_index(pairs: DataFrame, path: str) -> None:
+    """JSON lines, each a map from one ``pair_id`` to its category and two texts."""
+    body = F.map_from_arrays(F.array("pair_id"), F.array(F.struct("category", "text_a", "text_b")))
+    pairs.select(F.to_json(body).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)

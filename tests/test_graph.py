@@ -3,12 +3,14 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hodograph.operators import collapse as C
 from hodograph.operators import graph as G
 from hodograph.operators.skyline import pareto_front
 from hodograph.plans.config import GraphConfig
+from hodograph.runtime import Scratch
 from hodograph.sources import generators
 
 from .conftest import rows
@@ -62,6 +64,24 @@ def test_partners_are_exact(spark, seed, signed):
     assert len(got ^ want) <= 4  # rounding of the two engines may order exact ties apart
 
 
+def test_partners_with_negative_channels(spark):
+    """Facts of every combination of signs; only dominated ones are left out, so lists are those of all pairs."""
+    r = random.Random(8)
+    vals = [(i, [round(r.uniform(-1, 1), 3) for _ in range(3)]) for i in range(60)]
+    f = facts(spark, vals)
+    got = sorted(map(tuple, G.nearest(f, GraphConfig(k=3)).select("src", "dst").collect()))
+    some, n = G.partners(f, 3, Scratch(spark, "t"))
+    assert some.select("signs").distinct().count() == 8 and n == some.count()
+    every = f.select(F.col("id").alias("dst"), *(F.col(c).alias("o_" + c) for c in G.CHANNELS))
+    both = f.join(every, F.col("id") != F.col("dst")).select(F.col("id").alias("src"), "dst", *((F.col(c) * F.col("o_" + c)).alias(c) for c in G.CHANNELS))
+    axes = G.normalize(*(F.col(c) for c in G.CHANNELS))
+    cfg = GraphConfig(k=3)
+    both = both.select("src", "dst", G.combine(axes, cfg.weights).alias("s"), G.distance_to_ideal(axes, cfg.weights).alias("d"), (axes[0] + axes[1] + axes[2]).alias("t"))
+    w = Window.partitionBy("src").orderBy(F.col("s").desc(), "d", F.col("t").desc(), "dst")
+    want = both.filter("NOT isnan(s)").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("src", "dst")
+    assert got == sorted(map(tuple, want.collect()))
+
+
 def test_metrics(spark):
     tri = edges(spark, [(1, 2), (2, 3), (1, 3)])
     assert rows(G.clustering(nodes(spark, 3), tri)) == [(1, 1.0), (2, 1.0), (3, 1.0)]

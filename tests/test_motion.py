@@ -65,6 +65,13 @@ def test_align_pairs(spark):
     assert steered[3].error is None and steered[3].score is None and steered[4].error == "guides"
 
 
+def test_gated_alignment_reports_dimensions_first(spark):
+    x, y = [[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(1, x, x, "pass"), (2, x, x, "block"), (3, x, y, "block"), (4, x, y, "pass")], "id long, a array<array<double>>, b array<array<double>>, verdict string")
+    got = rows(A.align_gated(df, ["id"], "a", "b", "verdict", AlignConfig(window=5)))
+    assert got == [(1, "pass", None, 0.0), (2, "block", None, None), (3, "block", "dimension", None), (4, "pass", "dimension", None)]
+
+
 def test_kinematic_states(spark):
     df = spark.createDataFrame([(1, [[1.0, 0.0], [0.0, 0.0], [0.0, 2.0]])], "k int, m array<array<double>>")
     got = rows(K.frame_states(df, "k", "m"))
@@ -107,6 +114,16 @@ def test_beam_never_beats_exhaustive(spark):
     assert paths.agg(F.min("cost")).first()[0] >= cheap.cost - 1e-9
 
 
+def test_projection_errors(spark):
+    table = spark.createDataFrame([(2, 1, [[1.0], [0.5]])], "k int, dim int, centroidi array<array<float>>")
+    data = [("ok", [0, 1], [0, 1], [1.0, 1.0], 1), ("walk", [0], [0, 1], [1.0], 1), ("none", None, [0], [1.0], 1), ("empty", [], [], [], 1), ("dim", [0], [0], [1.0], 3), ("cell", [2], [0], [1.0], 1)]
+    walks = spark.createDataFrame(data, "id string, celle array<int>, pos array<int>, conf array<float>, wdim int")
+    got = {r.id: r.error for r in Z.projection_errors(walks, "id", table, "wdim").collect()}
+    assert got == {"ok": None, "walk": "walk", "none": "walk", "empty": "walk", "dim": "dimension", "cell": "cell"}
+    assert {r.error for r in Z.projection_errors(walks, "id", table.withColumn("dim", F.lit(4))).collect()} == {"dictionary"}
+    assert {r.error for r in Z.projection_errors(walks, "id", table.limit(0)).collect()} == {"dictionary"}
+
+
 def test_projection(spark):
     c = np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]])
     data = [("a", [0, 1, 2], [0, 1, 2], [0.9, 0.8, 0.7]), ("out", [0, 7], [0, 1], [1.0, 1.0]), ("zero", [0, 1], [0, 1], [0.0, 0.0]), ("null", None, [0], [1.0]), ("odd", [0], [0, 1], [1.0])]
