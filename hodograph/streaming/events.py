@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hodograph.functions.scalar import probe, verdict
 
+#: After a day without an event a user's state is dropped.
+IDLE_MS = 24 * 3600 * 1000
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -29,7 +31,12 @@ def gate_windows(events: DataFrame, length: str = "1 hour", late: str = "30 minu
 
 
 def _advance(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Velocity, change and count per user in order of arrival; the state is the last velocity and the count."""
+    """Velocity, change and count per user in order of arrival; the state is the last velocity and the count.
+
+    A user who sends nothing for :data:`IDLE_MS` is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     last, n = state.get if state.exists else (None, 0)
     out = []
@@ -37,15 +44,19 @@ def _advance(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupS
         out.append((key[0], int(e), float(v), 0.0 if last is None else float(v - last), n))
         last, n = float(v), n + 1
     state.update((last, n))
+    seen = rows["ts"].max()
+    now = state.getCurrentWatermarkMs()
+    state.setTimeoutTimestamp(max(now + 1, now if pd.isna(seen) else int(seen.timestamp() * 1000)) + IDLE_MS)
     yield pd.DataFrame(out, columns=["user_id", "event_id", "v", "a", "n_before"])
 
 
-def user_states(events: DataFrame) -> DataFrame:
+def user_states(events: DataFrame, late: str = "7 days") -> DataFrame:
     """``(user_id, event_id, v, a, n_before)``: kinematic state of each user's events, kept across micro-batches.
 
-    Within a batch events go in order of time; across batches in order of arrival. Null users and values drop out.
+    Within a batch events go in order of time; across batches in order of arrival. Null users and values drop out. State is one
+    row per user who sent something within a day of event time; rows later than ``late`` are left out.
     """
-    e = events.filter("user_id IS NOT NULL AND value IS NOT NULL").select("user_id", "event_id", "ts", "value")
+    e = events.filter("user_id IS NOT NULL AND value IS NOT NULL").select("user_id", "event_id", "ts", "value").withWatermark("ts", late)
     return e.groupBy("user_id").applyInPandasWithState(
-        _advance, "user_id long, event_id long, v double, a double, n_before long", "last double, n long", "append", GroupStateTimeout.NoTimeout
+        _advance, "user_id long, event_id long, v double, a double, n_before long", "last double, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
