@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from hodograph.plans.config import GraphConfig
 from hodograph.runtime import Scratch
 
 CHANNELS = ["colbert", "sparse", "relational"]
+#: Links that a task combines at once.
+LOT = 1 << 22
 
 
 # --- construction ---------------------------------------------------------------------------------------------------
@@ -141,14 +148,60 @@ def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("node", F.when(F.col("degree") >= 2, F.coalesce("t", F.lit(0)) / pairs).alias("clustering"))
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's component, for edges ``(a, b)`` of ``n`` numbered nodes."""
+    p = np.arange(n)
+    while True:
+        x, y = p[a], p[b]
+        if (x == y).all():
+            return p
+        np.minimum.at(p, np.maximum(x, y), np.minimum(x, y))
+        while ((up := p[p]) != p).any():
+            p = up
+
+
+def local_stars(pairs: DataFrame, lo: str, hi: str) -> DataFrame:
+    """``(lo, hi)``: links with the same components, those that each task sees of one component being a star around its least.
+
+    A combiner before links are exchanged: a chain within a task's rows takes no rounds any more. Links are taken in lots of
+    :data:`LOT`, so a task holds a bounded number of them. Links of equal or null ends are left out.
+    """
+    kind = dict(pairs.dtypes)[lo]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            a, b = (t.column(c).combine_chunks() for c in ("lo", "hi"))
+            names = pc.unique(pa.concat_arrays([a, b]))
+            names = names.take(pc.sort_indices(names))
+            root = _roots(*(pc.index_in(x, value_set=names).to_numpy(zero_copy_only=False) for x in (a, b)), len(names))
+            member = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(root[member])), names.take(pa.array(member))], ["lo", "hi"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= LOT:
+                yield from stars()
+                held, n = [], 0
+        if n:
+            yield from stars()
+
+    return pairs.select(F.col(lo).alias("lo"), F.col(hi).alias("hi")).filter("lo <> hi").mapInArrow(combine, f"lo {kind}, hi {kind}")
+
+
 def component_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``(node, label)`` of nodes with an edge: the least node of their component.
 
     Alternates two star steps: neighbours above a node move to its least neighbour, then those below do, until all is
-    stars. Every round is a written table; the number of rounds grows with the logarithm of the size.
+    stars. Every round is a written table; the number of rounds grows with the logarithm of the size. What each task holds
+    of a component is made a star first.
     """
     scratch = Scratch(edges.sparkSession, "labels")
-    now = scratch.cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    now = local_stars(edges, "src", "dst").select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+    now = scratch.cut(now.distinct())
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         seen = Observation()
@@ -159,7 +212,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         big = scratch.cut(big.filter("u <> v").distinct())
         small = big.join(big.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
-        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v")
+        nxt = local_stars(nxt, "v", "u").select(F.col("hi").alias("u"), F.col("lo").alias("v")).distinct()
         nxt = scratch.cut(nxt)
         scratch.drop(now, least, big)
         now = nxt
