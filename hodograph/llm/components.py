@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hodograph.operators.graph import local_stars
 from hodograph.runtime import Scratch, read, unbroadcast
 
 
@@ -28,7 +29,7 @@ def _round(e: DataFrame, least: DataFrame) -> DataFrame:
     at_hi = e.join(unbroadcast(least.select(F.col("v").alias("hi"), F.col("m").alias("mh"))), "hi")
     both = at_hi.join(unbroadcast(least.select(F.col("v").alias("lo"), F.col("m").alias("ml"))), "lo")
     pairs = F.array(*(F.struct(F.col(m).alias("lo"), F.col(v).alias("hi")) for m in ("mh", "ml") for v in ("hi", "lo")))
-    return both.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.lo", "p.hi").filter("lo < hi").distinct()
+    return local_stars(both.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.lo", "p.hi"), "lo", "hi").distinct()
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
@@ -38,14 +39,14 @@ def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 64)
     least member of a huge group collects stays distributed. As every cluster holds its vertex and is sent with
     its least member, a state is stored once as ``(lo, hi)``. Rounds end when the state is all stars, which no round
     changes; they grow with the logarithm of a group's diameter. Each round is a written table; the one before it is
-    deleted.
+    deleted. Before links are exchanged, what a task holds of a cluster is made a star around its least member, a combiner that
+    spares rounds and rows.
 
     Pairs with a null side or with equal sides link nothing. Repeated and reversed pairs are one link. An empty
     input gives an empty result. Other columns are ignored. Raises ``RuntimeError`` if ``max_rounds`` do not do.
     """
     scratch = Scratch(pairs.sparkSession, "components")
-    e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
-    e = scratch.cut(e.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "state")
+    e = scratch.cut(local_stars(pairs, a, b).distinct(), "state")
     for _ in range(max_rounds):
         least, loose = _least(e, scratch)
         if not loose.get["loose"]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hodograph.llm import components, copies, setjoin, topn
+from hodograph.operators import graph
 
 from ..conftest import rows
 
@@ -75,9 +76,18 @@ def test_components_of_nothing_and_of_strings(spark):
 
 
 def test_components_reports_no_end(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "x long, y long")
+    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "x long, y long").repartition(50)
     with pytest.raises(RuntimeError):
-        components.connected_components(df, "x", "y", max_rounds=2)
+        components.connected_components(df, "x", "y", max_rounds=1)
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    """Chains whose links lie in many tasks, which combine three links at once, so that rounds have to join them."""
+    monkeypatch.setattr(graph, "LOT", 3)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i // 2) for i in range(1, 200)]
+    random.Random(3).shuffle(pairs)
+    df = spark.createDataFrame(pairs, "x long, y long").repartition(20)
+    assert sorted(map(tuple, components.connected_components(df, "x", "y").collect())) == brute_components(pairs)
 
 
 # --- similar sets ---------------------------------------------------------------------------------------------------
@@ -131,7 +141,8 @@ def test_counting_ids(spark):
 def test_a_group_of_copies_stays_linear(spark):
     members = spark.createDataFrame([(f"a{i:03d}", "a000") for i in range(40)] + [(f"b{i:03d}", "b000") for i in range(40)], "id string, rep string")
     pairs = spark.createDataFrame([("a000", "b000")], "a string, b string")
-    got = set(map(tuple, copies.expand_pairs(pairs, members, write_out=100).collect()))
+    with pytest.warns(UserWarning, match="40 records"):
+        got = set(map(tuple, copies.expand_pairs(pairs, members, write_out=100).collect()))
     assert len(got) == 2 * 39 + 79 and all(a < b for a, b in got)
     linked = {x for p in got for x in p}
     assert linked == {r[0] for r in members.select("id").collect()}
