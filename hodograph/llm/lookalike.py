@@ -334,11 +334,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the length of its canonical form, and the first document that has the same form."""
-    f = canonical_text(read(spark, sf_dir, "documents")).select("id", "c1", "c2", F.length("form").alias("n"))
+    """Every document with the first document that has the same form, and how many have it."""
+    f = canonical_text(read(spark, sf_dir, "documents"), keep=False).select("id", "c1", "c2")
     f = Scratch(spark, "forms").cut(f, "forms").distinct()
-    first = f.groupBy("c1", "c2").agg(F.min("id").alias("form_doc"))
-    return f.join(unbroadcast(first), ["c1", "c2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars_form"), "form_doc")
+    first = f.groupBy("c1", "c2").agg(F.min("id").alias("form_doc"), F.count(F.lit(1)).alias("n_docs"))
+    return f.join(unbroadcast(first), ["c1", "c2"]).select(F.col("id").alias("doc_id"), "form_doc", "n_docs")
 
 
 QUERIES = {"p9_found": p9_found, "p9_forms": p9_forms}
@@ -362,5 +362,5 @@ WITH form AS (SELECT DISTINCT doc_id, text,
 SQL = {
     "p9_found": _sql() + """SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b
 FROM form a JOIN form b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
-    "p9_forms": _sql() + "SELECT doc_id, CAST(length(form) AS INTEGER) AS n_chars_form, min(doc_id) OVER (PARTITION BY form) AS form_doc FROM form",
+    "p9_forms": _sql() + "SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS form_doc, count(*) OVER (PARTITION BY form) AS n_docs FROM form",
 }
