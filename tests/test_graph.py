@@ -38,6 +38,18 @@ def test_golden_graph(spark):
     assert rows(G.first_by_id(facts(spark, [(3, (0.5, 0, 0)), (3, (0.1, 0, 0))]).withColumn("ord", F.monotonically_increasing_id()), "ord"))[0][1] == 0.5
 
 
+def test_pairs_with_all_partners_are_not_spread_out(spark):
+    """Hundreds of facts that none exceeds in all channels are everyone's possible partners; few of them are ranked."""
+    vals = [(i, (i / 400, 1 - i / 400, 0.5 + 0.5 * math.sin(i))) for i in range(400)]
+    f, cfg = facts(spark, vals), GraphConfig(k=3)
+    assert G.partners(f, 3, Scratch(spark, "t"))[1] > 200
+    assert G.scored_pairs(f, cfg).count() < 400 * 10
+    every = [(i, [p * q for p, q in zip(a, b)], j) for i, a in vals for j, b in vals if i != j]
+    score = lambda x: 0.6 * (x[0] + 1) / 2 + 0.25 * (1 - math.exp(-10.64 * x[1])) + 0.15 * (x[2] + 1) / 2
+    want = {(i, j) for n in range(400) for i, j in [(i, j) for _, i, j in sorted((-score(x), i, j) for i, x, j in every[n * 399 : n * 399 + 399])[:3]]}
+    assert set(map(tuple, G.nearest(f, cfg).select("src", "dst").collect())) == want
+
+
 @pytest.mark.parametrize("seed,signed", [(1, False), (2, False), (3, True)])
 def test_partners_are_exact(spark, seed, signed):
     """The reduced partners give the same neighbours as all pairs, ties included."""
