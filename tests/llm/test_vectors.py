@@ -159,6 +159,36 @@ def test_flow_stands_behind_every_row(spark, monkeypatch):
     assert linked == flows and len(linked) >= 2
 
 
+def test_members_link_clusters_whose_attractors_are_far_apart(spark, monkeypatch):
+    """Two blocks hold two records each; three of four pairs between them are links, that of the attractors is none."""
+    turn = np.radians([0.0, 20.0, 25.0, 45.0])
+    x = np.column_stack([np.cos(turn), np.sin(turn), 0 * turn]).astype(np.float32)
+    ddl = "id string, vec binary, n long"
+    df = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in zip("abcd", x)], ddl)
+    top = spark.createDataFrame([(i, bytearray(x[k].tobytes()), 2) for i, k in (("a", 0), ("d", 3))], ddl)
+    member = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "d"), ("d", "d")], "id string, via string")
+    monkeypatch.setattr(markov, "local_levels", lambda *_: (top, member))
+    assert {(r.id, r.cluster_id) for r in markov.markov_clusters(df, 3).collect()} == {(i, "a") for i in "abcd"}
+
+
+@pytest.mark.parametrize("block", [markov.BLOCK, 16])
+def test_links_of_clusters_are_those_of_their_members(spark, monkeypatch, block):
+    """Each link of two members counts once, though most pairs share many tables, blocks and copies included."""
+    monkeypatch.setattr(markov, "BLOCK", block)
+    x, label = blobs(11, [90, 7, 20], alone=10, spread=0.3)
+    x, via = np.vstack([x, x[:9]]), np.random.default_rng(1).integers(0, 12, len(x) + 9)
+    sim = x.astype(float) @ x.T.astype(float)
+    want = {}
+    for i, j in zip(*np.nonzero(np.where(sim >= 0.8, via[:, None] < via[None, :], False)), strict=True):
+        want[f"{via[i]:02d}", f"{via[j]:02d}"] = want.get((f"{via[i]:02d}", f"{via[j]:02d}"), 0) + sim[i, j]
+    size = np.bincount(via)
+    pts = spark.createDataFrame([(f"f{i:04d}", bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id string, vec binary, n long").repartition(3)
+    top = spark.createDataFrame([(f"{v:02d}", bytearray(x[0].tobytes()), int(n)) for v, n in enumerate(size)], "id string, vec binary, n long")
+    member = spark.createDataFrame([(f"f{i:04d}", f"{v:02d}") for i, v in enumerate(via)], "id string, via string")
+    got = {(r.a, r.b): r.sim for r in markov.cluster_links(pts, top, member, x.shape[1], 0.8, Scratch(spark, "t")).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], w / size[int(k[0])] / size[int(k[1])], rel_tol=1e-5) for k, w in want.items())
+
+
 def test_flow_of_cliques_and_copies():
     """Equal records, near ones and a bridge: cliques stay whole, also where each entry is tiny."""
     x = np.tile(np.eye(8, dtype=np.float32)[:1], (markov.LOCAL, 1))
