@@ -61,7 +61,11 @@ def e7_bands(spark, sf):
 def e9_path_sets(spark, sf):
     """Overlap of the beam's paths under two weightings of the action, per root."""
     adj, states, roots = q_motion._search(spark, sf)
-    runs = [B.beam_search(adj, states, roots, SolverConfig(kappa=1000.0, beta=b))[0].select("root", q_motion._text().alias("path")) for b in (1.0, 50.0)]
+    cfgs = tuple(SolverConfig(kappa=1000.0, beta=b) for b in (1.0, 50.0))
+    n = B.path_overlap(adj, states, roots, cfgs)
+    if n is not None:
+        return n.select("root", F.round(F.col("n_both") / (F.col("n_first") + F.col("n_second") - F.col("n_both")), 9).alias("jaccard"))
+    runs = [B.beam_search(adj, states, roots, cfg)[0].select("root", q_motion._text().alias("path")) for cfg in cfgs]
     return E.path_set_jaccard(*runs, "root", "path").select("root", F.round("jaccard", 9).alias("jaccard"))
 
 
