@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hodograph.llm import cells, ivfpq, markov, runs
+from hodograph.operators import skyline
 from hodograph.runtime import Scratch
 
 from ..conftest import rows
@@ -189,6 +190,36 @@ def test_links_of_clusters_are_those_of_their_members(spark, monkeypatch, block)
     assert got.keys() == want.keys() and all(math.isclose(got[k], w / size[int(k[0])] / size[int(k[1])], rel_tol=1e-5) for k, w in want.items())
 
 
+def test_narrow_clusters_meet_as_wholes(spark, monkeypatch):
+    """Links of cones, of cones that only some members of link, and of rows with cones are those of their members; hashes see rows in no cone only."""
+    r, hashed = np.random.default_rng(3), []
+    turn = np.radians([0, 4, 30, 42, 50, 62, 75, 170])  # middles of clusters, from all linked to none
+    x, via = [], []
+    for c, t in enumerate(turn):
+        for _ in range(60 if c < 7 else 1):
+            v = np.array([np.cos(t), np.sin(t), *np.zeros(6)])
+            x.append(v + 0.05 * r.normal(size=8) * (c < 7))
+            via.append(c)
+    for t in np.radians([36, 55, 66, 110]):  # alone
+        x.append(np.array([np.cos(t), np.sin(t), *np.zeros(6)]))
+        via.append(via[-1] + 1)
+    x, via = cells.unit(np.array(x)).astype(np.float32), np.array(via)
+    sim, want = x.astype(float) @ x.T.astype(float), {}
+    for i, j in zip(*np.nonzero(np.where(sim >= 0.8, via[:, None] < via[None, :], False)), strict=True):
+        want[f"{via[i]:02d}", f"{via[j]:02d}"] = want.get((f"{via[i]:02d}", f"{via[j]:02d}"), 0) + sim[i, j]
+    size, links = np.bincount(via), markov.member_links
+    monkeypatch.setattr(markov, "LOCAL", 40)
+    monkeypatch.setattr(markov, "member_links", lambda rows, *a: hashed.append(rows.count()) or links(rows, *a))
+    pts = spark.createDataFrame([(f"f{i:04d}", bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "id string, vec binary, n long").repartition(3)
+    top = spark.createDataFrame([(f"{v:02d}", bytearray(x[0].tobytes()), int(n)) for v, n in enumerate(size)], "id string, vec binary, n long")
+    member = spark.createDataFrame([(f"f{i:04d}", f"{v:02d}") for i, v in enumerate(via)], "id string, via string")
+    for limit in (skyline.BROADCAST_LIMIT, 8 * markov.CONE_BYTES):  # all cones at once, and in blocks
+        monkeypatch.setattr("hodograph.operators.skyline.BROADCAST_LIMIT", limit)
+        got = {(r.a, r.b): r.sim for r in markov.cluster_links(pts, top, member, 8, 0.8, Scratch(spark, "t")).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], w / size[int(k[0])] / size[int(k[1])], rel_tol=1e-6) for k, w in want.items())
+    assert len(want) > 12 and hashed[0] < 120
+
+
 def test_flow_of_cliques_and_copies():
     """Equal records, near ones and a bridge: cliques stay whole, also where each entry is tiny."""
     x = np.tile(np.eye(8, dtype=np.float32)[:1], (markov.LOCAL, 1))
